@@ -1,9 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from epiframe.llm.bpe import op9_bpe_roundtrip
 from epiframe.llm.chat import OP5_SQL, op5_chat_format
+from epiframe.llm.lm_bloom import op10_lm_bloom
 from epiframe.llm.mixing import OP8_SQL, op8_source_mix
 from epiframe.llm.quality import op1_quality_mcd
 from epiframe.llm.simhash import op7_simhash_pigeonring
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op5_chat_format, op7_simhash_pigeonring, op8_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op5_chat_format, op7_simhash_pigeonring, op8_source_mix, op9_bpe_roundtrip, op10_lm_bloom)}
 ORACLES = {"op5_chat_format": OP5_SQL, "op8_source_mix": OP8_SQL}

@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,8 +247,6 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced by marks, and n_chars, where there is one, counted anew."""
-    import pandas as pd
-
     fitted = model()
 
     @F.pandas_udf(T.StringType())

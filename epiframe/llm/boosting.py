@@ -63,16 +63,22 @@ class BoostedTrees:
         return f
 
 
-def platt(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset that turn log odds into calibrated ones, by Newton's method with smoothed targets."""
+def platt(f: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset that turn log odds into calibrated ones, by damped Newton steps with smoothed targets."""
+    shift, scale = float(f.mean()), float(f.std()) or 1.0
+    g = (f - shift) / scale
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 1.0, 0.0
+    loss = lambda a, b: float((np.logaddexp(0, a * g + b) - t * (a * g + b)).sum() + 1e-3 * a * a)
+    a, b = 1.0, float(np.log(t.mean() / (1 - t.mean())))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
         w, r = np.maximum(p * (1 - p), 1e-9), t - p
-        h = np.array([[(w * f * f).sum() + 1e-6, (w * f).sum()], [(w * f).sum(), w.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, [(r * f).sum(), r.sum()])
-        a, b = a + da, b + db
-        if abs(da) + abs(db) < 1e-9:
+        h = np.array([[(w * g * g).sum() + 2e-3, (w * g).sum()], [(w * g).sum(), w.sum() + 1e-6]])
+        da, db = np.linalg.solve(h, [(r * g).sum() - 2e-3 * a, r.sum()])
+        size, now = 1.0, loss(a, b)
+        while loss(a + size * da, b + size * db) > now and size > 1e-6:
+            size /= 2
+        a, b = a + size * da, b + size * db
+        if size * (abs(da) + abs(db)) < 1e-9:
             break
-    return float(a), float(b)
+    return float(a / scale), float(b - a * shift / scale)

@@ -52,7 +52,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     opened = turns.select(
         "conv_id",
         F.transform(
-            F.arrays_zip(F.col("turns").alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.col("turns.role")).alias("p"), F.concat(F.slice(F.col("turns.role"), 2, 2147483647), F.array(F.lit(None).cast("string"))).alias("f")),
+            F.arrays_zip(F.col("turns").alias("t"), F.concat(F.array(F.lit(None).cast("string")), F.col("turns.role")).alias("p"), F.concat(F.slice(F.col("turns.role"), F.lit(2), F.size("turns")), F.array(F.lit(None).cast("string"))).alias("f")),
             lambda x: F.struct(
                 F.when(x["t"]["role"].eqNullSafe(x["p"]), F.lit("<|+|>")).otherwise(F.concat(F.lit("<|"), escape_role(x["t"]["role"]), F.lit("|>"))).alias("open"),
                 escape(x["t"]["text"]).alias("body"),

@@ -27,7 +27,8 @@ def source_rates(sizes: DataFrame, budget: float = BUDGET, cap: float = CAP, wei
 
     Sources in code-point order, null last, weigh ``weights`` in turn. A source is full at ``cap`` times
     its size; in order of the level at which they fill up, a source is full if its level is below the one
-    that the rest of the budget gives to those not yet full.
+    that the rest of the budget gives to those not yet full. From the first that is not full, that level is the
+    others' too; it is the largest among them, as later ones would take the caps of those before off the rest.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -42,7 +43,7 @@ def source_rates(sizes: DataFrame, budget: float = BUDGET, cap: float = CAP, wei
         .withColumn("budget", budget * F.sum("source_size").over(whole))
         .withColumn("rest", (F.col("budget") - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0))) / F.sum("w").over(after))
         .withColumn("full", F.col("level") <= F.col("rest"))
-        .withColumn("open_level", F.min(F.when(~F.col("full"), F.col("rest"))).over(whole))
+        .withColumn("open_level", F.max(F.when(~F.col("full"), F.col("rest"))).over(whole))
         .withColumn("target", F.when(F.col("full"), cap * F.col("source_size")).otherwise(F.col("open_level") * F.col("w")))
         .select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
     )
@@ -92,7 +93,7 @@ l AS (SELECT *, CAST(2.0 AS DOUBLE) * source_size / w AS level, CAST(1.5 AS DOUB
 r AS (
   SELECT *, (budget - coalesce(sum(CAST(2.0 AS DOUBLE) * source_size) OVER (ORDER BY level, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY level, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM l),
-f AS (SELECT *, level <= rest AS is_full, min(CASE WHEN level > rest THEN rest END) OVER () AS open_level FROM r),
+f AS (SELECT *, level <= rest AS is_full, max(CASE WHEN level > rest THEN rest END) OVER () AS open_level FROM r),
 g AS (
   SELECT source, source_size, CASE WHEN is_full THEN CAST(2.0 AS DOUBLE) * source_size ELSE open_level * w END AS target FROM f),
 h AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM g)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -145,12 +146,10 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows):
         """One file per task; rows need topic, schema_name, log_time and data."""
-        from pyspark import TaskContext
-
         got = [(r.topic, r.schema_name or "", r.log_time, bytes(r.data)) for r in rows]
         if not got:
             return _Written([])
-        name = os.path.join(self.path, f"log-{TaskContext.get().partitionId():05d}.mcap")
+        name = os.path.join(self.path, f"log-{uuid.uuid4().hex}.mcap")
         write_log(name, got)
         return _Written([name])
 

@@ -1,11 +1,12 @@
 """Indexed message logs ("MCAP" containers) as a Python data source.
 
-A file is one input partition; only records that a query's topics and times can hold are decoded. The container
-is a magic number, then records of an opcode byte, a 64-bit length and a body; chunks hold further records,
-plain or compressed.
+A file is one input partition. The options ``topics`` (comma-separated), ``since`` and ``until`` (log times) keep
+other records from being decoded. They are options and not pushed filters, because Spark 4.1 keeps the filters that
+a Python reader has taken for later queries of the same DataFrame. The container is a magic number, then records
+of an opcode byte, a 64-bit length and a body; chunks hold further records, plain or compressed.
 
-    register(spark)
-    spark.read.format("message_log").load(path)
+    spark.dataSource.register(MessageLogSource)
+    spark.read.format("message_log").option("topics", "/a").load(path)
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the container format.
 MAGIC = b"\x89MCAP0\r\n"
@@ -108,24 +109,11 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, options):
         self.files = sorted(glob.glob(os.path.join(path, "**", "*.mcap"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
-        self.topics, self.since, self.until = None, None, None
-
-    def pushFilters(self, filters):
-        """Takes tests of topic and log_time; Spark applies the others."""
-        for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None
-            if column == "topic" and isinstance(f, EqualTo):
-                self.topics = frozenset([f.value]) & (self.topics if self.topics is not None else frozenset([f.value]))
-            elif column == "topic" and isinstance(f, In):
-                self.topics = frozenset(f.value) & (self.topics if self.topics is not None else frozenset(f.value))
-            elif column == "log_time" and isinstance(f, GreaterThanOrEqual):
-                self.since = f.value if self.since is None else max(self.since, f.value)
-            elif column == "log_time" and isinstance(f, LessThanOrEqual):
-                self.until = f.value if self.until is None else min(self.until, f.value)
-            else:
-                yield f
+        topics, number = options.get("topics"), lambda k: int(options[k]) if k in options else None
+        self.topics = frozenset(topics.split(",")) if topics else None
+        self.since, self.until = number("since"), number("until")
 
     def partitions(self):
         return [_File(p) for p in self.files]
@@ -168,13 +156,7 @@ class MessageLogSource(DataSource):
         return COLUMNS
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite):
         return _Writer(self.options["path"])
-
-
-def register(spark) -> None:
-    """Makes the format known to a session, with filters pushed into it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(MessageLogSource)

@@ -14,17 +14,18 @@ from epiframe.operators import quality as Q
 from epiframe.operators import signals as S
 from epiframe.operators import stats as ST
 from epiframe.sources import episodes as E
-from epiframe.sources.message_log import register, write_log
+from epiframe.sources.message_log import MessageLogSource, write_log
 from epiframe.streaming import telemetry
 
 
 def test_message_log_round_trip(spark, tmp_path):
     rows = [("/a", "raw", 5, struct.pack("<2d", 1.0, 2.0)), ("/b", "raw", 3, b"x"), ("/a", "raw", 9, struct.pack("<2d", 3.0, 4.0))]
     write_log(str(tmp_path / "one.mcap"), rows)
-    register(spark)
+    spark.dataSource.register(MessageLogSource)
     d = spark.read.format("message_log").load(str(tmp_path))
     assert [(r.topic, r.log_time, bytes(r.data)) for r in d.orderBy("log_time").collect()] == [(t, n, b) for t, _, n, b in sorted(rows, key=lambda r: r[2])]
-    v = d.where("topic = '/a' and log_time >= 6").select(payloads.decode_vector(F.col("data"), F.col("schema_name")).alias("v"))
+    assert d.where("topic = '/b'").count() == 1 and d.count() == 3
+    v = spark.read.format("message_log").options(topics="/a", since=6).load(str(tmp_path)).select(payloads.decode_vector(F.col("data"), F.col("schema_name")).alias("v"))
     assert [r.v for r in v.collect()] == [[3.0, 4.0]]
     d.select("topic", "schema_name", "log_time", "data").write.format("message_log").mode("append").option("path", str(tmp_path / "out")).save()
     assert spark.read.format("message_log").load(str(tmp_path / "out")).count() == 3

@@ -35,6 +35,8 @@ from epiframe.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _LATIN = 0x250
+#: Pre-tokens that are put together at once.
+_AT_ONCE = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,21 +130,27 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             flat = np.fromiter((i for x in ids for i in x), "<u4")
             yield _packed([(place, number, B.REPLY, section, B.squeeze(B.planes(np.fromiter(map(len, ids), "<u4", len(ids))), B.planes(flat)))])
 
-    def put_together(t: pa.Table) -> pa.Table:
-        rows = sorted(_rows(t.to_batches()), key=lambda r: (r[2], r[3]))
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(_rows(batches), key=lambda r: (r[2], r[3]))
         *head, first, two, four, section = B.unsqueeze(rows[0][4])
         doc_ids, lengths = B.unpack_ids(*head)
         codes, order = B.unpack_codes(first, two, four), B.in_order(B.unplanes(section, "<u4"))
         replies = [B.unsqueeze(r[4]) for r in rows[1:]]
+        del rows
         sizes = np.concatenate([np.zeros(0, np.int64)] + [B.unplanes(a, "<u4").astype(np.int64) for a, _ in replies])
         flat = np.concatenate([np.zeros(0, np.int32)] + [B.unplanes(b, "<u4").astype(np.int32) for _, b in replies])
         size, start = np.empty_like(sizes), np.empty_like(sizes)
         size[order], start[order] = sizes, np.cumsum(sizes) - sizes
-        k = size[codes]  # ids of each pre-token, in the documents' order
-        where = np.repeat(start[codes] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        ends = np.concatenate([[0], np.cumsum(k)])[np.concatenate([[0], np.cumsum(lengths)])]
-        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat[where], pa.int32()))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids.cast(pa.list_(pa.int32()))})
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = 0
+        while at < len(doc_ids):  # some documents at a time
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, "right")) - 1)
+            part = codes[ends[at] : ends[to]]
+            k = size[part]  # ids of each pre-token, in the documents' order
+            where = np.repeat(start[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            own = np.concatenate([[0], np.cumsum(k)])[ends[at : to + 1] - ends[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[at:to], pa.int64()), pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(flat[where], pa.int32()))], names=["doc_id", "ids"])
+            at = to
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, B.PACKED)
     answered = packed.repartitionById(n, F.col("place")).mapInArrow(encode_words, B.PACKED)
@@ -158,7 +166,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         get = of_token.value.__getitem__
         for b in batches:
             ids = b.column(b.schema.get_field_index("ids"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([b"".join(map(get, x)) for x in ids.to_pylist()], pa.binary())], names=[*b.schema.names, "bytes"])
+            found = [b"".join(map(get, ids[i].values.to_numpy().tolist())) if ids[i].is_valid else None for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, "bytes"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(work, f"{kept}, bytes binary")

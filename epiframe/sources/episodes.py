@@ -75,7 +75,7 @@ def episodes(spark: SparkSession, path: str) -> DataFrame:
     by_length = F.col("length") / fps if fps else F.lit(0.0)
     no = F.lit(False).alias("has_intervention")
     if detect_format(spark, path) == V3:
-        e = spark.read.parquet(f"{path}/meta/episodes")
+        e = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/meta/episodes")
         spans = [F.greatest(F.lit(0.0), F.col(f"`{c}`") - F.col(f"`{c[: -len('to_timestamp')]}from_timestamp`")) for c in e.columns if re.fullmatch(r"videos/.+/to_timestamp", c)]
         duration = (F.least(*spans) if len(spans) > 1 else spans[0]) if spans else by_length
         touched = [F.array_max(F.flatten(F.array(F.col(f"`{c}`").cast("array<double>")))) > 0 for c in e.columns if re.fullmatch(r"stats/.*is_intervene/max", c)]
@@ -85,7 +85,7 @@ def episodes(spark: SparkSession, path: str) -> DataFrame:
         e = spark.read.schema("episode_index long, length long, tasks array<string>, task string").option("mode", "FAILFAST").json(f"{path}/meta/episodes.jsonl")
         tasks = F.coalesce("tasks", F.when(F.col("task").isNotNull(), F.array("task")).otherwise(F.array().cast("array<string>")))
         return e.select("episode_index", "length", by_length.alias("duration"), tasks.alias("tasks"), no)
-    n = spark.read.parquet(f"{path}/data").groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
+    n = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/data").groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
     return n.select("episode_index", "length", by_length.alias("duration"), F.array().cast("array<string>").alias("tasks"), no)
 
 
@@ -133,3 +133,41 @@ def write_v2(frame_rows: DataFrame, path: str, fps: float, robot_type: str | Non
     features = {c: {"dtype": "float64" if t.startswith("array") else t} for c, t in frame_rows.dtypes if c not in INDEX_COLUMNS}
     info = {"codebase_version": "v2.1", "robot_type": robot_type, "fps": fps, "total_episodes": n, "total_frames": total, "features": features}
     spark.createDataFrame([(json.dumps(info, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/meta/info.json")
+
+
+def write_v3(frame_rows: DataFrame, path: str, fps: float, robot_type: str | None = None, tasks: DataFrame | None = None, shards: int = 1) -> None:
+    """A version-3 dataset: shards of frames in order, episode rows with their index ranges and statistics, and info."""
+    from epiframe.operators.datasets import cumulative_index
+    from epiframe.operators.stats import vector_stats
+
+    spark = frame_rows.sparkSession
+    frame_rows.repartitionByRange(shards, "episode_index", "frame_index").sortWithinPartitions("episode_index", "frame_index").write.option("compression", "zstd").parquet(f"{path}/data/chunk-000")
+    e = cumulative_index(frame_rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length")))
+    e = e.select("episode_index", "length", F.col("from_index").alias("dataset_from_index"), F.col("to_index").alias("dataset_to_index"))
+    for name, kind in frame_rows.dtypes:
+        if kind in ("array<double>", "array<float>"):
+            s = vector_stats(frame_rows, ["episode_index"], f"`{name}`").withColumn("count", F.col("count").cast("double"))
+            cols = [c for c in s.columns if c not in ("episode_index", "dim")]
+            rows = s.groupBy("episode_index").agg(F.sort_array(F.collect_list(F.struct("dim", *cols))).alias("x"))
+            e = e.join(rows.select("episode_index", *[F.col(f"x.{c}").alias(f"stats/{name}/{c}") for c in cols]), "episode_index", "left")
+    if tasks is not None:
+        e = e.join(tasks, "episode_index", "left")
+    e.coalesce(1).sortWithinPartitions("episode_index").write.option("compression", "zstd").parquet(f"{path}/meta/episodes/chunk-000")
+    n, total = frame_rows.agg(F.countDistinct("episode_index"), F.count(F.lit(1))).first()
+    info = {"codebase_version": "v3.0", "robot_type": robot_type, "fps": fps, "total_episodes": n, "total_frames": total}
+    spark.createDataFrame([(json.dumps(info, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/meta/info.json")
+
+
+def fidelity(source: str, target: str) -> str | None:
+    """What a conversion keeps: all within a format, nearly all between the Parquet layouts, else a part."""
+    known = (V2, V3, HDF5, MESSAGE_LOG)
+    if source not in known or target not in known:
+        return None
+    return "full" if source == target else "high" if {source, target} == {V2, V3} else "partial"
+
+
+def convert(spark: SparkSession, source: str, target: str, to: str) -> None:
+    """Copies a Parquet dataset into the layout ``to``."""
+    fps = float(read_info(spark, source).get("fps") or 0)
+    e = episodes(spark, source).select("episode_index", "tasks")
+    {V2: write_v2, V3: write_v3}[to](frames(spark, source), target, fps, read_info(spark, source).get("robot_type"), e)

@@ -98,3 +98,41 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert {r.key: r.value for r in spark.table("latest").collect()} == {"a": 49.0, "b": 1.0}
     assert telemetry.bounds(1, 5) == (5.0, 100) and os.path.isdir(src)
+
+
+def test_conversion_between_layouts(spark, tmp_path):
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    rows = [(i, e, f, f / 10, [float(f), float(e)]) for i, (e, f) in enumerate((e, f) for e in (0, 1) for f in range(e + 3))]
+    frames = spark.createDataFrame(rows, "index long, episode_index long, frame_index long, timestamp double, action array<double>")
+    E.write_v2(frames, a, 10.0, "r", spark.createDataFrame([(0, ["t"]), (1, ["u", "v"])], "episode_index long, tasks array<string>"))
+    E.convert(spark, a, b, E.V3)
+    E.convert(spark, b, c, E.V2)
+    assert (E.detect_format(spark, a), E.detect_format(spark, b), E.detect_format(spark, str(tmp_path / "none"))) == (E.V2, E.V3, None)
+    key = lambda r: (r.episode_index, r.frame_index, list(r.action))
+    assert sorted(map(key, E.frames(spark, c).collect())) == sorted(map(key, frames.collect())) == sorted(map(key, E.frames(spark, b).collect()))
+    assert [(r.length, r.tasks) for r in E.episodes(spark, b).orderBy("episode_index").collect()] == [(3, ["t"]), (4, ["u", "v"])]
+    assert E.fidelity(E.V2, E.V3) == "high" and E.fidelity(E.HDF5, E.V2) == "partial"
+
+
+def test_detectors(spark):
+    from epiframe.operators import detectors
+
+    wave = lambda f: 0.05 * f + (1.0 if 20 <= f < 26 and f % 2 else 0.0)
+    values = {0: [wave(f) for f in range(60)], 1: [0.05 * f + (5.0 if f >= 30 else 0.0) for f in range(60)], 2: [1.0] * 60, 3: [0.01 * f for f in range(29)] + [float("nan")] + [0.3] * 30}
+    frames = spark.createDataFrame([(e, f, x) for e, v in values.items() for f, x in enumerate(v)], "episode_index long, frame_index long, value double")
+    episodes = spark.createDataFrame([(e, 60) for e in range(5)], "episode_index long, length long")
+    ok = frames.where("episode_index < 3")
+    assert {r.episode_index for r in detectors.jitter(ok, 10.0).collect()} == {0}
+    assert {r.episode_index for r in detectors.stationary(ok, 10.0).collect()} == {2} == {r.episode_index for r in detectors.near_zero(ok).collect()}
+    found = {(r.episode_index, r.issue_code) for r in detectors.integrity(frames, episodes, 10.0).collect()}
+    assert found == {(3, "integrity/non_finite_signal"), (4, "integrity/missing_action")}
+    assert detectors.scan(ok, episodes.where("episode_index < 3"), 10.0).columns == list(detectors.COLUMNS)
+
+
+def test_frame_metrics(spark):
+    from epiframe.functions import images
+
+    dark, bright = bytes([10] * 8 * 8 * 3), bytes([250] * 8 * 8 * 3)
+    rows = [(0, "c", i, 8, 8, 3, bytearray(p)) for i, p in enumerate((dark, dark, bright))]
+    d = images.visual_flags(images.frame_metrics(spark.createDataFrame(rows, "episode_index long, camera_key string, frame_index long, height int, width int, channels int, pixels binary")))
+    assert [(r.dark, r.overexposed, r.blurred, r.frozen) for r in d.orderBy("frame_index").collect()] == [(True, False, True, False), (True, False, True, True), (False, True, True, False)]

@@ -136,3 +136,25 @@ def test_frame_metrics(spark):
     rows = [(0, "c", i, 8, 8, 3, bytearray(p)) for i, p in enumerate((dark, dark, bright))]
     d = images.visual_flags(images.frame_metrics(spark.createDataFrame(rows, "episode_index long, camera_key string, frame_index long, height int, width int, channels int, pixels binary")))
     assert [(r.dark, r.overexposed, r.blurred, r.frozen) for r in d.orderBy("frame_index").collect()] == [(True, False, True, False), (True, False, True, True), (False, True, True, False)]
+
+
+def test_report_tables(spark, tmp_path):
+    from epiframe.sources import report
+
+    path = str(tmp_path / "r")
+    one = spark.createDataFrame([("f1", 0, "x"), ("f2", 1, "y")], "finding_id string, episode_index int, issue_code string")
+    report.write_table(one, path, "findings", "a")
+    report.write_table(one, path, "findings", "b")
+    report.write_table(one.where("episode_index = 1"), path, "findings", "a")
+    assert report.read_table(spark, path, "findings").count() == 3 and report.read_table(spark, path, "findings", "a").count() == 1
+    for status, at in (("accepted", "2024-01-01"), ("rejected", "2024-01-02")):
+        report.add_reviews(spark.createDataFrame([("f1", status, at)], "finding_id string, review_status string, reviewed_at string"), path)
+    assert [r.review_status for r in report.current_reviews(spark, path).collect()] == ["rejected"]
+    assert spark.read.parquet(f"{path}/audit_log").count() == 2
+    left = Q.open_findings(report.read_table(spark, path, "findings", "b"), report.current_reviews(spark, path))
+    assert [r.finding_id for r in left.collect()] == ["f2"]
+    report.export_csv(one, f"{path}/csv", ["finding_id"])
+    assert spark.read.option("header", True).csv(f"{path}/csv").count() == 2
+    p = spark.createDataFrame([("p1", "completed", "k"), ("p2", "running", "k")], "preview_id string, status string, fingerprint string")
+    want = spark.createDataFrame([("p1", "k"), ("p1", "z"), ("p2", "k")], "preview_id string, fingerprint string")
+    assert report.preview_gate(want, p).count() == 1 and report.missing_previews(p, want.where("preview_id = 'p2'")).count() == 1

@@ -93,7 +93,8 @@ def links(fps: DataFrame) -> DataFrame:
     first = [which.index(i) for i in starts]
     key = F.when(F.col("j") < first[1], _chain_key(0, turned)).when(F.col("j") < first[2], _chain_key(1, turned)).otherwise(_chain_key(2, turned))
     asked = asked.select(F.col("fp").alias("a"), key.alias("key"))
-    met = asked.join(held.withColumnRenamed("fp", "b"), "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    # neither side is bounded, so neither may be broadcast
+    met = asked.join(held.withColumnRenamed("fp", "b").hint("merge"), "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
     return met.select("a", "b").distinct()
 
 

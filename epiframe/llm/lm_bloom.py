@@ -96,7 +96,8 @@ def make_slice(rest: np.ndarray, count: np.ndarray, most_bits: int) -> np.ndarra
 class Filter:
     """Slices side by side. ``probe`` gives the level of each (section, rest)."""
 
-    def __init__(self, slices: dict[int, bytes], n: int):
+    def __init__(self, slices: dict, n: int):
+        """``slices``: buffers of packed bits by section."""
         parts = [np.frombuffer(slices.get(s, b"\0"), np.uint8) for s in range(n)]
         self.sizes = np.array([8 * len(p) for p in parts], np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
@@ -191,9 +192,11 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, weight: float = WEI
     packed = rows.mapInArrow(_cut(n), B.PACKED).repartitionById(n, F.col("place"))
     packed = materialize(packed.mapInArrow(_count(n, filter_bytes), B.PACKED), "lm-packed")
     totals = np.array([np.frombuffer(r.data, "<i8") for r in packed.where(F.col("kind") == TOTALS).select("data").toLocalIterator()]).reshape(-1, 2).sum(0)
-    slices = {r.section: bytes(r.data) for r in packed.where(F.col("kind") == FILTER).select("section", "data").collect()}  # FILTER_BYTES at most
-    model = spark.sparkContext.broadcast((Filter(slices, n), int(totals[0]), int(totals[1])))
-    del slices
+    made = packed.where(F.col("kind") == FILTER).select("section", "data").toArrow()  # FILTER_BYTES at most
+    grid = Filter({s.as_py(): b.as_buffer() for s, b in zip(made["section"], made["data"], strict=True)}, n)
+    del made
+    model = spark.sparkContext.broadcast((grid, int(totals[0]), int(totals[1])))
+    del grid
 
     def work(t: pa.Table) -> pa.Table:
         grid, total, kinds = model.value

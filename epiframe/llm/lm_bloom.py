@@ -2,17 +2,17 @@
 
 Training documents give exact counts of tokens and counts of bigrams. A bigram of count c goes into the filter
 once for each level 1 .. 1 + floor(log2 c); a query probes level 1, 2, ... until one is missing, and the last
-level found tells the count's power of two. The filter is broadcast; its size follows the number of bigrams up
-to ``FILTER_BYTES``, beyond which the rate of false positives rises instead, and the weight of the bigram part
-falls by that rate, so no bigram is dropped and nothing unbounded is broadcast.
+level found tells the count's power of two. The filter lies in slices, one a section, each sized from its own
+entries at every scale; a block's distinct bigrams go to the sections that own the slices, which probe them and
+answer with their levels, so no bigram is dropped and nothing that grows is broadcast.
 
 The model interpolates: P(w | v) = a * c(vw) / c(v) + (1 - a) * U(w) with U(w) = (c(w) + 0.1) / (N + 0.1 (V + 1));
 a is ``WEIGHT`` times one minus the filter's false-positive rate, and 0 where v was not seen. A text's tokens are
 its lower-cased words and one end mark, which is also what the first word follows.
 
 Distinct words and bigrams are counted per block of documents before they are shuffled (see ``blocks``); words
-and bigrams are told apart by 64-bit and about 46-bit hashes. Each section counts its words and bigrams, answers
-the blocks and makes its slice of the filter, so the driver gets only the finished filter.
+and bigrams are told apart by 64-bit and about 46-bit hashes. Each section counts its words and bigrams, makes
+its slice of the filter and answers the blocks, so the driver gets only sums.
 
 Edge cases: null and empty texts have the end token only; a null doc_id counts as held out (its text is empty,
 crc32 0); without training documents every token has probability 1; repeated rows count and are scored each;
@@ -34,11 +34,10 @@ from epiframe.llm import blocks as B
 from epiframe.llm.bpe import _packed, _rows
 from epiframe.llm.common import materialize, table
 
-FILTER_BYTES = 256 << 20
 BITS_PER_ENTRY, PROBES, MAX_LEVEL = 9.6, 6, 40
 WEIGHT, ADD = 0.4, 0.1
 FOLDS = 10
-GRAMS, FILTER, TOTALS = 3, 4, 5
+GRAMS, LEVELS, TOTALS = 3, 4, 5
 END = b""
 _REST = np.uint64((1 << 40) - 1)
 
@@ -82,10 +81,11 @@ def _bits(rest: np.ndarray, level: int | np.ndarray, size: np.ndarray | int):
         a = a + b
 
 
-def make_slice(rest: np.ndarray, count: np.ndarray, most_bits: int) -> np.ndarray:
-    """A section's slice of the filter, as packed bits."""
+def make_slice(rest: np.ndarray, count: np.ndarray, most_bits: int | None = None) -> np.ndarray:
+    """A section's slice of the filter, as packed bits; ``score`` sets no ``most_bits``."""
     level = levels(count)
-    bits = 8 * max(1, int(min(np.ceil(BITS_PER_ENTRY * level.sum() / 8), most_bits // 8)))
+    bits = int(np.ceil(BITS_PER_ENTRY * level.sum() / 8))
+    bits = 8 * max(1, bits if most_bits is None else min(bits, most_bits // 8))
     on = np.zeros(bits, np.bool_)
     for j in range(1, int(level.max(initial=0)) + 1):
         for at in _bits(rest[level >= j], j, bits):
@@ -102,8 +102,7 @@ class Filter:
         self.sizes = np.array([8 * len(p) for p in parts], np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
         self.data = np.concatenate(parts)
-        on = sum(int(np.bitwise_count(self.data[i : i + (1 << 22)]).sum(dtype=np.int64)) for i in range(0, len(self.data), 1 << 22))
-        self.false_rate = (on / (8 * len(self.data))) ** PROBES
+        self.on = sum(int(np.bitwise_count(self.data[i : i + (1 << 22)]).sum(dtype=np.int64)) for i in range(0, len(self.data), 1 << 22))
 
     def probe(self, section: np.ndarray, rest: np.ndarray) -> np.ndarray:
         out, left = np.zeros(len(rest), np.int64), np.arange(len(rest))
@@ -120,6 +119,19 @@ class Filter:
         return out
 
 
+def _pairs(codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second words of a block's distinct bigrams, and the bigram of each token."""
+    before = np.concatenate([[end], codes[:-1]])
+    pairs, back = np.unique(before.astype(np.uint64) << np.uint64(32) | codes.astype(np.uint64), return_inverse=True)
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), back
+
+
+def _dealt(v: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Section and rest of bigrams, and the order in which a block sends them and gets their levels."""
+    section, rest = bigram_hash(v, w, n)
+    return section, rest, np.lexsort((rest, section))
+
+
 def _cut(n: int):
     def work(batches):
         for number, block in B.blocks_of(_rows(batches), tokens):
@@ -136,10 +148,9 @@ def _cut(n: int):
                     own = order[at:end]
                     yield _packed([(s, number, B.WORDS, s, B.squeeze(hashes[own].tobytes(), B.planes(counts[own])))])
                 at = end
-            before = np.concatenate([[words.index(END)], codes[:-1]])
-            pairs, times = np.unique((before.astype(np.uint64) << np.uint64(32) | codes)[train], return_counts=True)
-            s2, rest = bigram_hash(hashes[(pairs >> np.uint64(32)).astype(np.int64)], hashes[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)], n)
-            order = np.lexsort((rest, s2))
+            v, w, back = _pairs(codes, words.index(END))
+            times = np.bincount(back[train], minlength=len(v))
+            s2, rest, order = _dealt(hashes[v], hashes[w], n)
             s2, rest, times = s2[order], rest[order], times[order].astype("<u4")
             at = 0
             for s, end in enumerate(np.cumsum(np.bincount(s2.astype(np.int64), minlength=n)).tolist()):
@@ -155,9 +166,9 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kinds, np.bincount(back, weights=counts, minlength=len(kinds)).astype(np.int64), back
 
 
-def _count(n: int, filter_bytes: int):
-    """Per section: counts the words, answers the blocks, makes the slice. A task holds the packed words and
-    bigrams of its section, whose number grows with the shuffle partitions."""
+def _count(n: int):
+    """Per section: counts the words and bigrams, makes the slice, answers the blocks. A task holds the packed
+    words and bigrams of its section; there are as many sections as shuffle partitions."""
 
     def work(batches):
         words, grams = defaultdict(list), defaultdict(list)
@@ -167,7 +178,7 @@ def _count(n: int, filter_bytes: int):
             elif kind == B.WORDS:
                 words[section].append((number, data))
             else:
-                grams[section].append(data)
+                grams[section].append((number, data))
         for s, got in words.items():
             parts = [B.unsqueeze(data) for _, data in got]
             hashes = [np.frombuffer(h, "<u8") for h, _ in parts]
@@ -176,46 +187,52 @@ def _count(n: int, filter_bytes: int):
             for (number, _), h in zip(got, hashes, strict=True):
                 yield _packed([(s, number, B.REPLY, s, B.squeeze(h.tobytes(), B.planes(total[back[at : at + len(h)]].astype("<u8"))))])
                 at += len(h)
-            yield _packed([(s, -1, TOTALS, s, np.array([total.sum(), np.count_nonzero(total)], "<i8").tobytes())])
+            yield _packed([(s, -1, TOTALS, s, np.array([total.sum(), np.count_nonzero(total), 0, 0], "<i8").tobytes())])
         for s, got in grams.items():
-            parts = [B.unsqueeze(data) for data in got]
-            rest, total, _ = _sum_by(np.concatenate([np.cumsum(B.unplanes(r, "<u8"), dtype=np.uint64) for r, _ in parts]), np.concatenate([B.unplanes(c, "<u4") for _, c in parts]))
-            yield _packed([(s, -1, FILTER, s, make_slice(rest, total, 8 * filter_bytes // n).tobytes())])
+            parts = [B.unsqueeze(data) for _, data in got]
+            kinds, total, back = _sum_by(np.concatenate([np.cumsum(B.unplanes(r, "<u8"), dtype=np.uint64) for r, _ in parts]), np.concatenate([B.unplanes(c, "<u4") for _, c in parts]))
+            trained = total > 0  # the others are of held-out documents only
+            grid = Filter({0: make_slice(kinds[trained], total[trained])}, 1)
+            found = grid.probe(np.zeros(len(kinds), np.int64), kinds).astype(np.uint8)[back]
+            at = 0
+            for (number, _), (_, c) in zip(got, parts, strict=True):
+                k = len(c) // 4
+                yield _packed([(s, number, LEVELS, s, B.squeeze(found[at : at + k].tobytes()))])
+                at += k
+            yield _packed([(s, -1, TOTALS, s, np.array([0, 0, grid.on, 8 * len(grid.data)], "<i8").tobytes())])
 
     return work
 
 
-def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark, n = docs.sparkSession, B.sections(docs)
+    n = B.sections(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_cut(n), B.PACKED).repartitionById(n, F.col("place"))
-    packed = materialize(packed.mapInArrow(_count(n, filter_bytes), B.PACKED), "lm-packed")
-    totals = np.array([np.frombuffer(r.data, "<i8") for r in packed.where(F.col("kind") == TOTALS).select("data").toLocalIterator()]).reshape(-1, 2).sum(0)
-    made = packed.where(F.col("kind") == FILTER).select("section", "data").toArrow()  # FILTER_BYTES at most
-    grid = Filter({s.as_py(): b.as_buffer() for s, b in zip(made["section"], made["data"], strict=True)}, n)
-    del made
-    model = spark.sparkContext.broadcast((grid, int(totals[0]), int(totals[1])))
-    del grid
+    packed = materialize(packed.mapInArrow(_count(n), B.PACKED), "lm-packed")
+    sums = np.zeros(4, np.int64)
+    for r in packed.where(F.col("kind") == TOTALS).select("data").toLocalIterator():
+        sums += np.frombuffer(r.data, "<i8")
+    total, kinds, on, bits = sums.tolist()
+    false_rate = (on / max(bits, 1)) ** PROBES
 
     def work(t: pa.Table) -> pa.Table:
-        grid, total, kinds = model.value
         got = sorted(_rows(t.to_batches()), key=lambda r: (r[2], r[3]))
         ids, none, lengths, first, two, four, section, end = B.unsqueeze(got[0][4])
         ids, lengths = B.unpack_ids(ids, none, lengths)
         codes, order = B.unpack_codes(first, two, four).astype(np.int64), B.in_order(B.unplanes(section, "<u4"))
-        replies = [B.unsqueeze(r[4]) for r in got[1:]]
+        replies = [B.unsqueeze(r[4]) for r in got if r[2] == B.REPLY]
         count, hashes = np.empty(len(order), np.int64), np.empty(len(order), np.uint64)
         hashes[order] = np.concatenate([np.frombuffer(h, "<u8") for h, _ in replies])
         count[order] = np.concatenate([B.unplanes(c, "<u8").astype(np.int64) for _, c in replies])
         single = (count + ADD) / (total + ADD * (kinds + 1))
-        before = np.concatenate([np.frombuffer(end, "<i8"), codes[:-1]])
-        pairs, back = np.unique(before.astype(np.uint64) << np.uint64(32) | codes.astype(np.uint64), return_inverse=True)
-        v, w = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        a = np.where(count[v] > 0, weight * (1 - grid.false_rate), 0.0)
-        both = np.zeros(len(pairs))
+        v, w, back = _pairs(codes, int(np.frombuffer(end, "<i8")[0]))
+        level = np.empty(len(v), np.uint8)
+        level[_dealt(hashes[v], hashes[w], n)[2]] = np.concatenate([np.frombuffer(B.unsqueeze(r[4])[0], np.uint8) for r in got if r[2] == LEVELS])
+        a = np.where(count[v] > 0, weight * (1 - false_rate), 0.0)
+        both = np.zeros(len(v))
         able = np.flatnonzero((count[v] > 0) & (count[w] > 0))
-        found = level_count(grid.probe(*bigram_hash(hashes[v[able]], hashes[w[able]], len(grid.sizes))))
+        found = level_count(level[able].astype(np.int64))
         both[able] = np.minimum(1.0, found / count[v[able]])
         pair = np.log10(a * both + (1 - a) * single[w])
         starts = np.cumsum(lengths) - lengths
@@ -230,7 +247,7 @@ def score(docs: DataFrame, filter_bytes: int = FILTER_BYTES, weight: float = WEI
         }
         return pa.table(cols)
 
-    answered = packed.where(F.col("kind").isin(B.PAYLOAD, B.REPLY))
+    answered = packed.where(F.col("kind").isin(B.PAYLOAD, B.REPLY, LEVELS))
     return answered.groupBy("block").applyInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

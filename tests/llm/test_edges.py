@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from epiframe.llm import ann, bpe, chat, html_text, lm_bloom, mixing, pii, quality, simhash, toxicity
+from epiframe.llm import ann, blocks, bpe, chat, html_text, lm_bloom, mixing, pii, quality, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, key string, fp long, u double"
 LONG = "the cat sat on a mat. " * 20_000
@@ -286,6 +286,41 @@ def test_filter_has_every_bigram():
     assert (grid.probe(np.zeros(5000, np.int64), other) == 0).mean() > 0.97
 
 
+def test_filter_grows_with_the_input():
+    """A section of 5,000 bigrams among four million sections; a filter of 256 MB would leave it 64 bytes."""
+    n, rng = 1 << 22, np.random.default_rng(4)
+    rest = np.unique(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
+    count = rng.integers(1, 50, len(rest)).astype("<u4")
+    count[::5] = 0  # held out
+    data = blocks.squeeze(blocks.planes(np.diff(rest, prepend=np.uint64(0))), blocks.planes(count))
+    out = [r for b in lm_bloom._count(n)([lm_bloom._packed([(7, 3, lm_bloom.GRAMS, 7, data)])]) for r in b.to_pylist()]
+    (level,) = [np.frombuffer(blocks.unsqueeze(r["data"])[0], np.uint8) for r in out if (r["block"], r["kind"]) == (3, lm_bloom.LEVELS)]
+    want = np.where(count > 0, lm_bloom.levels(np.maximum(count, 1)), 0)
+    assert (level >= want).all() and (level == want).mean() > 0.97
+    (sums,) = [np.frombuffer(r["data"], "<i8") for r in out if r["kind"] == lm_bloom.TOTALS]
+    assert (sums[2] / sums[3]) ** lm_bloom.PROBES < 0.03
+
+
+def test_lm_scores_equal_definition(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.6, 40) % 50) for _ in range(60)]
+    split = [[b"", *lm_bloom.tokens(t)] for t in texts]
+    train = [t for i, t in enumerate(split) if not lm_bloom.held_out(i)]
+    one, two = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    total, kinds = sum(one.values()), len(one)
+    got = {r.doc_id: r.score for r in lm_bloom.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    close = 0
+    for i, t in enumerate(split):
+        want = 0.0
+        for v, w in zip(t, t[1:], strict=False):
+            a = lm_bloom.WEIGHT if one[v] else 0.0
+            level = lm_bloom.levels(np.array([two[v, w]])) if two[v, w] else np.array([0])
+            both = min(1.0, lm_bloom.level_count(level)[0] / one[v]) if one[v] else 0.0
+            want += np.log10(a * both + (1 - a) * (one[w] + 0.1) / (total + 0.1 * (kinds + 1)))
+        close += abs(got[i] - want) < 0.02 * abs(want)
+    assert close > 0.95 * len(texts)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -40,7 +40,9 @@ _HIDDEN = frozenset("head script style noscript template svg iframe object math
 _CLOSES_P = _BLOCK - {"label", "button", "option", "legend"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'|[\"'])*+)>", re.S)
+_name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: An attribute up to its value's end, or to the quote (group 1) that opens its value.
+_attribute = re.compile(r"[\s/]*+(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s>]*+))?)?")
 _attr = re.compile(r"(?i)\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _hidden_style = re.compile(r"(?i)display\s*:\s*none|\bhidden\b")
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -95,6 +97,29 @@ def _leaf_features(text: str, linked: int, tag: str) -> list[str]:
     ]
 
 
+def _tag(page: str, lt: int, quotes: dict[str, int], dead: set[int]) -> tuple[str, str, str, int] | None:
+    """Slash, name, attributes and end of the tag at ``lt``. A quote opens a string only as an attribute's value and
+    if one more follows (``quotes`` has each kind's last place); ``dead`` collects places from which no tag ends, so
+    that a page takes linear time."""
+    m = _name.match(page, lt)
+    if not m:
+        return None
+    at, seen = m.end(), []
+    while at < len(page) and page[at] != ">":
+        if at in dead:
+            at = len(page)
+            break
+        seen.append(at)
+        a = _attribute.match(page, at)
+        at = a.end()
+        if a[1] and at <= quotes[a[1]]:
+            at = page.find(a[1], at) + 1
+    if at < len(page):
+        return m[1], m[2], page[m.end() : at], at + 1
+    dead.update(seen)
+    return None
+
+
 def parse(page: str) -> Tree:
     """The tree of a page. Inline elements are part of the text of their block."""
     tree = Tree()
@@ -102,6 +127,7 @@ def parse(page: str) -> Tree:
     buffer: list[str] = []
     linked = links = 0
     at, end, last = 0, len(page), page.rfind(">")
+    quotes, dead = {q: page.rfind(q) for q in "\"'"}, set()
 
     def flush():
         nonlocal linked
@@ -144,21 +170,21 @@ def parse(page: str) -> Tree:
             stop = page.find(">", lt)
             at = end if stop < 0 else stop + 1
             continue
-        m = _tag.match(page, lt)
+        m = _tag(page, lt, quotes, dead)
         if not m:
             buffer.append("<")
             at = lt + 1
             continue
-        at = m.end()
-        tag = m[2].lower()
-        if m[1]:
+        slash, tag, attributes, at = m
+        tag = tag.lower()
+        if slash:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in _BLOCK:
                 flush()
                 close((tag,))
         elif tag in _HIDDEN:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 if stop:
                     at = stop.end()
@@ -174,7 +200,7 @@ def parse(page: str) -> Tree:
                 close(("p",))
             links = 0
             if tag not in _VOID:
-                stack.append((tag, tree.add(stack[-1][1], tag, _element_features(tag, m[3]))))
+                stack.append((tag, tree.add(stack[-1][1], tag, _element_features(tag, attributes))))
         elif tag == "a":
             links += 1
         elif tag == "br" or tag in ("img", "input", "textarea"):

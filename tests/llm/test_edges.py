@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -137,6 +138,25 @@ def test_html():
     assert html_text.extract([page, None, ""]) == ["A & B\nFirst long paragraph of the text, with words.\nSecond long paragraph of the text.", "", ""]
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_html_long_attributes(quote):
+    article = "<article><h1>A &amp; B</h1>{}<p>First long paragraph of the text, with words.</p>{}<p>Second long paragraph of the text.</p></article>"
+    page = "<html><body>{}" + article + f"<div class={quote}comments{quote}><p>I like it, said a reader.</p></div><footer>&copy; x</footer>"
+    want = html_text.extract([page.format("", "", "")])
+    assert want == ["A & B\nFirst long paragraph of the text, with words.\nSecond long paragraph of the text."]
+    for value in ("data:image/png;base64," + "iVBOR/w0" * 1250, "a > b " * 2000):
+        image = f"<img alt={quote}x{quote} src={quote}{value}{quote}>"
+        assert html_text.extract([page.format(image, "", ""), page.format("", image, image), page.format(image, image, image)]) == want * 3
+    stray = f"<img src={quote}x{quote}{quote}>"  # closes the value once too often
+    assert html_text.extract([page.format(stray, "", "")]) == want
+
+
+def test_html_tags_that_never_end_take_linear_time():
+    began = time.process_time()
+    html_text.parse("<a " * 60_000 + 'x=">"')
+    assert time.process_time() - began < 10
+
+
 def test_html_messages_are_exact_marginals():
     """Sum-product against the sum over all labellings of a small tree."""
     import itertools

@@ -4,7 +4,8 @@ Base spans are exact patterns of e-mail, IP, card and phone numbers, and always
 propose overlapping candidates (spelled-out e-mails, local phone numbers, numbers after identifying words,
 keyed secrets, long random strings, account numbers); gradient-boosted trees score each by its format and the
 words before it, Platt scaling calibrates the scores on held-out examples, and a threshold per kind, set for
-precision, selects. Selected candidates that overlap a base span or a better candidate go.
+precision, selects. Selected candidates that overlap a base span or a better candidate go; of a secret around
+whole base spans, such as a long key with a run of digits that makes a card number, what lies beside them stays.
 
 The trees are trained on the driver from ``EXAMPLES`` examples that a seeded generator writes; no corpus row is
 needed. Matching is linear in the text: every scan starts at a run's first character and never goes back.
@@ -20,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -92,8 +94,8 @@ _GENERATORS = tuple((name, kind, re.compile(p, re.A)) for name, kind, p in (
     ("named_number", "phone", r"(?i)\b(?:phone|tel|mobile|call|fax)\b[.:# ]{0,3}([0-9(][0-9 ().-]{5,20}[0-9])(?![\w-])"),
     ("dashed_number", "account", r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
     ("iban", "account", r"(?<!\w)([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"),
-    ("keyed", "secret", r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,200})"),
-    ("random", "secret", r"(?<![\w/+=-])([A-Za-z0-9_+=-]{24,200})(?![\w/+=-])"),
+    ("keyed", "secret", r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{6,}+)"),
+    ("random", "secret", r"(?<![\w/+=-])([A-Za-z0-9_+=-]{24,}+)(?![\w/+=-])"),
 ))
 _NEEDS = {"spelled_email": re.compile(r"(?i)\bdot\b"), "keyed": re.compile(r"[=:]")}
 _CONTEXT = tuple(frozenset(w.split()) for w in ("mail email contact write e-mail", "phone tel mobile call fax telephone", "ssn social security iban account konto passport", "token key secret password passwd pwd api apikey credential", "version isbn order invoice item page figure table part serial model build commit revision"))
@@ -192,14 +194,25 @@ def find(text: str, fitted=None) -> tuple[list[Span], list[Span]]:
     added: list[Span] = []
     if proposed:
         p = 1 / (1 + np.exp(-(a * trees.decision(np.array([features(text, s, e, g) for s, e, _, g in proposed])) + b)))
-        taken = sorted((s, e) for s, e, _ in base)
+        exact = sorted((s, e) for s, e, _ in base)
+        taken = list(exact)
         for _, s, e, kind in sorted((-q, s, e, kind) for q, (s, e, kind, _) in zip(p.tolist(), proposed, strict=True) if q >= limits[kind]):
-            if _free(taken, s, e):
-                added.append((s, e, kind))
+            inside = [x for x in exact[bisect_left(exact, (s,)) : bisect_left(exact, (e,))] if x[1] <= e] if kind == "secret" else []
+            added += [(i, j, kind) for i, j in _beside(s, e, inside) if _free(taken, i, j)]
     by = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted(base, key=by), sorted(added, key=by)
 
 
+def _beside(start: int, end: int, inside: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that none of the sorted spans inside it covers."""
+    for s, e in inside:
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     """Whether no span in the sorted list overlaps; if so the span joins the list."""
     from bisect import bisect_left, insort

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import re
+import string
 import time
 import zlib
 from collections import Counter
@@ -138,6 +140,28 @@ def test_html():
     assert html_text.extract([page, None, ""]) == ["A & B\nFirst long paragraph of the text, with words.\nSecond long paragraph of the text.", "", ""]
 
 
+@pytest.mark.parametrize("n", [200, 201, 300, 5000])
+@pytest.mark.parametrize("letters", ["0123456789abcdef", string.ascii_letters + string.digits + "-_"])
+def test_pii_long_secrets(n, letters):
+    rng = random.Random(n)
+    for lead, rest in (('token = "', '"'), ("api_key: ", ""), ("the credential ", " was here"), ("Authorization: Bearer ", "")):
+        for _ in range(5):
+            text = lead + "".join(rng.choice(letters) for _ in range(n)) + rest
+            base, more = pii.find(text)
+            at, covered = len(lead), len(lead)
+            for s, e, _ in sorted(base + more):
+                assert s <= covered
+                covered = max(covered, e)
+            assert covered == at + n and "secret" in {k for *_, k in more}
+            assert base or more == [(at, at + n, "secret")]
+            assert re.sub(r"\[(SECRET|CARD|PHONE|IP)\]", "", pii.redacted(text, base + more)) == lead + rest
+
+
+def test_pii_long_runs_that_are_no_secrets():
+    for x in ("-" * 300, "=" * 5000, "antherle" * 60, "a" * 3000, "-".join(["mokasu"] * 60)):
+        assert pii.find(f"look mosu {x} ended.")[1] == []
+
+
 @pytest.mark.parametrize("quote", ['"', "'"])
 def test_html_long_attributes(quote):
     article = "<article><h1>A &amp; B</h1>{}<p>First long paragraph of the text, with words.</p>{}<p>Second long paragraph of the text.</p></article>"

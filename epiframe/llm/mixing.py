@@ -9,7 +9,8 @@ Only the table of sources (one row each) is ordered as a whole; documents meet i
 small side Spark may broadcast after it has measured it.
 
 Edge cases: a null text has size 0; a null source is a source of its own and sorts last; repeated rows
-draw alike; a source of size 0 has target 0; extra columns pass through; an empty table gives an empty one.
+draw alike; a source of size 0 has target 0; extra columns pass through whatever their names; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epiframe.llm.common import materialize, null_safe_join, table, word_count
+from epiframe.llm.common import free_name, materialize, null_safe_join, table, word_count
 
 BUDGET, CAP, WEIGHTS, SEED = 1.5, 2.0, (5, 2, 1), "mix-1"
 
@@ -63,10 +64,11 @@ def copies(rate: Column, u: Column) -> Column:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """Every document as often as the mix takes it; columns stay as they are."""
     rates = source_rates(docs.select("source", word_count(F.col("text")).alias("size")), **how)
-    rates = materialize(rates, "mix-rates").select("source", F.col("rate").alias("__rate"))
-    n = copies(F.col("__rate"), draw(F.col("doc_id"), F.col("text")))
-    out = null_safe_join(docs, rates, ["source"]).withColumn("__n", n).where("__n > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)
+    rate, n, copy = (free_name(docs, c) for c in ("__rate", "__n", "__copy"))
+    rates = materialize(rates, "mix-rates").select("source", F.col("rate").alias(rate))
+    times = copies(F.col(rate), draw(F.col("doc_id"), F.col("text")))
+    out = null_safe_join(docs, rates, ["source"]).withColumn(n, times).where(F.col(n) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 def report(docs: DataFrame, **how) -> DataFrame:

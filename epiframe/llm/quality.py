@@ -24,7 +24,7 @@ distinct vectors, whose sums combine per group and cell before the shuffle; what
 (lang, source).
 
 Edge cases: null or empty text has no words and fails the base rule; null languages and sources are groups
-of their own; repeated rows get equal verdicts; extra columns pass through; an empty table gives an empty one.
+of their own; repeated rows get equal verdicts; extra columns pass through, also those named like a count; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -219,11 +219,12 @@ def estimates(stats: DataFrame) -> DataFrame:
     return precise(drawn(own)).where("level = 2").drop("level")
 
 
-def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Documents with their counts, base_failed, d2 (null if the base rule decides) and kept; of the
-    documents' own columns those in ``keep``, lang and source remain."""
-    own = list(dict.fromkeys([*keep, "lang", "source"]))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+
+
+def _judge(docs: DataFrame, own: list[str]) -> DataFrame:
+    """The columns in ``own``, each with ``__own_`` before its name, the counts and the verdict."""
+    counts = list(COUNTS)
     src = docs.select(*[F.col(c).alias(f"__own_{c}") for c in own], F.col("text"))
     stats = base_counts(src).select(*[F.col(f"__own_{c}").alias(f"__own_{c}") for c in own], *counts, base_failed().alias("base_failed"))
     stats = materialize(stats.withColumns({"lang": F.col("__own_lang").cast("string"), "source": F.col("__own_source").cast("string")}), "quality-stats")
@@ -231,13 +232,20 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = null_safe_join(stats.withColumns({f"x{i}": x for i, x in enumerate(xs)}), estimates(stats), ["lang", "source"])
     d2 = F.when(~F.col("base_failed"), distance())
     out = out.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
-    return out.select(*[F.col(f"__own_{c}").alias(c) for c in own], *counts, "base_failed", "d2", "kept")
+    return out.select(*[f"__own_{c}" for c in own], *counts, "base_failed", "d2", "kept")
+
+
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Documents with their counts, base_failed, d2 (null if the base rule decides) and kept; of the
+    documents' own columns those in ``keep``, lang and source remain."""
+    own = list(dict.fromkeys([*keep, "lang", "source"]))
+    return _judge(docs, own).select(*[F.col(f"__own_{c}").alias(c) for c in own], *COUNTS, "base_failed", "d2", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns they had."""
-    out = judged(docs, docs.columns)
-    return out.where("kept").select(*docs.columns)
+    own = list(dict.fromkeys([*docs.columns, "lang", "source"]))
+    return _judge(docs, own).where("kept").select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
 
 
 def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:

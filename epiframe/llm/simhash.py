@@ -14,7 +14,7 @@ in distinct fingerprints. No candidate or bucket is capped.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; fewer than three words make
 one shingle; rows with a null doc_id take part, and a component of only such rows has a null component_id;
-repeated rows get equal results; extra columns pass through where rows are kept; an empty table gives none.
+repeated rows get equal results; extra columns pass through where rows are kept, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from epiframe.llm.common import materialize, table
+from epiframe.llm.common import free_name, materialize, table
 from epiframe.llm.components import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -122,10 +122,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The rows are written once with their fingerprints and row numbers, so that the row kept is the same in
     every later read."""
-    rows = materialize(with_fingerprint(docs, "__fp").withColumn("__uid", F.monotonically_increasing_id()), "simhash-docs")
-    of = components(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__uid").alias("uid")))
-    kept = of.select(F.col("first.uid").alias("__uid")).distinct()
-    return rows.join(kept, "__uid", "left_semi").select(*docs.columns)
+    fp, uid = free_name(docs, "__fp"), free_name(docs, "__uid")
+    rows = materialize(with_fingerprint(docs, fp).withColumn(uid, F.monotonically_increasing_id()), "simhash-docs")
+    of = components(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(uid).alias("uid")))
+    kept = of.select(F.col("first.uid").alias(uid)).distinct()
+    return rows.join(kept, uid, "left_semi").select(*docs.columns)
 
 
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

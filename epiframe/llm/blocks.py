@@ -11,9 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_CHARS = 16_000_000
 #: Columns of packed rows: the section or place that a row is dealt to, its block, kind, section and bytes.
@@ -22,9 +24,22 @@ PAYLOAD, WORDS, REPLY = 0, 1, 2
 _ESCAPE = 240
 
 
-def sections(df: DataFrame) -> int:
-    """As many sections as the session has shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input for which there is a section, at the least: what a task holds of its section is in proportion.
+SECTION_BYTES = 32_000_000
+
+
+def sections(docs: DataFrame) -> int:
+    """As many sections as the session has shuffle partitions, and as the size of the input asks for. The size is the
+    planner's (of files: their length); where it has none, the texts are measured."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SECTION_BYTES))
+
+
+def place_of(number: int, n: int) -> int:
+    """Where a block's payload goes: by a digest of its number, since numbers of first blocks are multiples of 2^32."""
+    return xxhash.xxh64_intdigest(number.to_bytes(8, "little")) % n
 
 
 def squeeze(*parts: bytes) -> bytes:
@@ -141,6 +156,13 @@ def by_section(words: list, n: int, digest: Callable[[bytes], int]) -> np.ndarra
     return (np.fromiter(map(digest, words), np.uint64, len(words)) % np.uint64(n)).astype(np.uint32)
 
 
+def runs(section: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(section, from, to) of each section that has words, in the order of ``in_order``."""
+    kinds, n = np.unique(section, return_counts=True)
+    ends = np.cumsum(n)
+    return zip(kinds.tolist(), (ends - n).tolist(), ends.tolist(), strict=True)
+
+
 def in_order(section: np.ndarray) -> np.ndarray:
     """Where the words of section 0, then 1, ... stand in the block's order."""
     return np.argsort(section, kind="stable")

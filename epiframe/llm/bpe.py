@@ -1,10 +1,15 @@
 """Byte-level BPE over documents by a global shuffle of distinct words.
 
 Encoding: texts are cut into pre-tokens; each block of documents keeps its pre-tokens' positions as code
-sequences and sends its distinct pre-tokens to their sections, where each distinct one is encoded once; the
-ids are joined back to the block and put together by position. Decoding joins ids with the table of token
-bytes. The vocabulary is read from a rank file whose path is a parameter, and broadcast (its size is the
-file's: some 50,000 tokens, under 2 MB).
+sequences and sends its distinct pre-tokens to their sections, where each distinct one is encoded once (again only
+if a section has more than ``REMEMBERED`` of them); the ids are joined back to the block and put together by
+position. Decoding looks ids up in the table of token bytes, a broadcast hash join without the rows. The vocabulary
+is read from a rank file whose path is a parameter, and broadcast (its size is the file's: some 50,000 tokens, under
+2 MB).
+
+``encode_by_rows`` and ``decode_by_rows`` are the same in plain DataFrame steps: explode with positions, distinct,
+join, reassemble. They move a row of some 40 bytes for each token, where packed blocks move some 3 bytes, and are the
+twins that the tests hold the packed form against.
 
 What is shuffled is the code sequences (about 1.4 bytes a token), twice, and the distinct words of each block.
 
@@ -13,7 +18,8 @@ itself, so that letters, numbers and white space are what that library takes the
 use a shorter table of the same classes, which matches faster.
 
 Edge cases: null text counts as empty and has no ids; null and repeated doc_ids are kept row by row; special
-tokens' strings are ordinary text; extra columns are ignored; an empty table gives an empty one.
+tokens' strings are ordinary text; extra columns are ignored by encoding and kept by decoding, where ``bytes`` takes
+the place of a column of that name; null ids have null bytes; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import xxhash
@@ -31,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.llm import blocks as B
-from epiframe.llm.common import table
+from epiframe.llm.common import materialize, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _LATIN = 0x250
-#: Pre-tokens that are put together at once.
-_AT_ONCE = 200_000
+#: Pre-tokens that are put together at once, and distinct ones whose ids a task remembers.
+_AT_ONCE, REMEMBERED = 200_000, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,13 +115,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             words = [w.encode() for w in words]
             section = B.by_section(words, n, xxhash.xxh64_intdigest)
             order = B.in_order(section)
-            yield _packed([(number % n, number, B.PAYLOAD, -1, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section)))])
-            ends = np.cumsum(np.bincount(section, minlength=n)).tolist()
-            at = 0
-            for s, end in enumerate(ends):
-                if end > at:
-                    yield _packed([(s, number, B.WORDS, s, B.squeeze(*B.pack_words([words[i] for i in order[at:end].tolist()])))])
-                at = end
+            yield _packed([(B.place_of(number, n), number, B.PAYLOAD, -1, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section)))])
+            for s, at, end in B.runs(section):
+                yield _packed([(s, number, B.WORDS, s, B.squeeze(*B.pack_words([words[i] for i in order[at:end].tolist()])))])
 
     def encode_words(batches):
         one, known = piece_encoder(ranks.value, pattern), {}
@@ -123,6 +126,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 yield _packed([(place, number, kind, section, data)])
                 continue
             words = B.unpack_words(*B.unsqueeze(data))
+            if len(known) > REMEMBERED:
+                known.clear()
             for w in words:
                 if w not in known:
                     known[w] = one(w)
@@ -162,6 +167,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
     of_token = encoded.sparkSession.sparkContext.broadcast([b for b, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
+    encoded = encoded.drop("bytes")
+
     def work(batches):
         get = of_token.value.__getitem__
         for b in batches:
@@ -173,6 +180,35 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(work, f"{kept}, bytes binary")
 
 
+def encode_by_rows(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, ids) of every row, in plain steps: one row a pre-token."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pre_tokens(t or "", pattern))
+
+    @F.pandas_udf("array<int>")
+    def ids_of(words: pd.Series) -> pd.Series:
+        return words.map(lambda w, one=piece_encoder(ranks.value, pattern): one(w.encode()))
+
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "bpe-rows")
+    tokens = rows.select("row", F.posexplode(cut(F.coalesce("text", F.lit("")))).alias("at", "word"))
+    met = tokens.join(tokens.select("word").distinct().select("word", ids_of("word").alias("part")), "word")
+    whole = met.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])).alias("ids"))
+    return rows.select("row", "doc_id").join(whole, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def decode_by_rows(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, bytes) of (doc_id, ids) rows, in plain steps: ids join the table of token bytes row by row."""
+    ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
+    tokens = encoded.sparkSession.createDataFrame(list(ranks.items()), "piece binary, id int")
+    rows = materialize(encoded.select("doc_id", "ids", F.monotonically_increasing_id().alias("row")), "bpe-ids")
+    met = rows.select("row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(tokens), "id")  # the vocabulary
+    whole = met.groupBy("row").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: F.hex(x["piece"])), "")).alias("bytes"))
+    return rows.join(whole, "row", "left").select("doc_id", F.when(F.col("ids").isNotNull(), F.coalesce("bytes", F.lit(b""))).alias("bytes"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decode(encode(table(spark, sf_dir, "documents")))
     text = F.array_join(F.col("ids").cast("array<string>"), " ")

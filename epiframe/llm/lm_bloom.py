@@ -7,8 +7,11 @@ entries at every scale; a block's distinct bigrams go to the sections that own t
 answer with their levels, so no bigram is dropped and nothing that grows is broadcast.
 
 The model interpolates: P(w | v) = a * c(vw) / c(v) + (1 - a) * U(w) with U(w) = (c(w) + 0.1) / (N + 0.1 (V + 1));
-a is ``WEIGHT`` times one minus the filter's false-positive rate, and 0 where v was not seen. A text's tokens are
-its lower-cased words and one end mark, which is also what the first word follows.
+a is ``WEIGHT`` times one minus the filter's false-positive rate, and 0 where v was not seen. A level stands for the
+least count of its range, so the bigrams of a history, false positives aside, add up to between a / 2 and a; what they
+leave, a fifth of the whole at most, is kept for words that the training documents never had. So the probabilities
+after a history never add up to more than one. A text's tokens are its lower-cased words and one end mark, which is
+also what the first word follows.
 
 Distinct words and bigrams are counted per block of documents before they are shuffled (see ``blocks``); words
 and bigrams are told apart by 64-bit and about 46-bit hashes. Each section counts its words and bigrams, makes
@@ -68,8 +71,9 @@ def levels(count: np.ndarray) -> np.ndarray:
 
 
 def level_count(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the geometric middle of its range; 0 for level 0."""
-    return np.where(level <= 1, np.minimum(level, 1), 2.0 ** (level - 1) * 1.35)
+    """The count that a level stands for: the least of its range, so that a history's bigrams never add up to more
+    than its count; 0 for level 0."""
+    return np.where(level <= 0, 0.0, 2.0 ** (level - 1))
 
 
 def _bits(rest: np.ndarray, level: int | np.ndarray, size: np.ndarray | int):
@@ -139,24 +143,18 @@ def _cut(n: int):
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             section = (hashes % np.uint64(n)).astype(np.uint32)
             order = B.in_order(section)
-            yield _packed([(number % n, number, B.PAYLOAD, -1, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section), np.array([words.index(END)], "<i8").tobytes()))])
+            yield _packed([(B.place_of(number, n), number, B.PAYLOAD, -1, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section), np.array([words.index(END)], "<i8").tobytes()))])
             train = np.repeat([not held_out(i) for i in block.ids], block.lengths)
             counts = np.bincount(codes[train], minlength=len(words)).astype("<u4")
-            at = 0
-            for s, end in enumerate(np.cumsum(np.bincount(section, minlength=n)).tolist()):
-                if end > at:
-                    own = order[at:end]
-                    yield _packed([(s, number, B.WORDS, s, B.squeeze(hashes[own].tobytes(), B.planes(counts[own])))])
-                at = end
+            for s, at, end in B.runs(section):
+                own = order[at:end]
+                yield _packed([(s, number, B.WORDS, s, B.squeeze(hashes[own].tobytes(), B.planes(counts[own])))])
             v, w, back = _pairs(codes, words.index(END))
             times = np.bincount(back[train], minlength=len(v))
             s2, rest, order = _dealt(hashes[v], hashes[w], n)
             s2, rest, times = s2[order], rest[order], times[order].astype("<u4")
-            at = 0
-            for s, end in enumerate(np.cumsum(np.bincount(s2.astype(np.int64), minlength=n)).tolist()):
-                if end > at:
-                    yield _packed([(s, number, GRAMS, s, B.squeeze(B.planes(np.diff(rest[at:end], prepend=np.uint64(0))), B.planes(times[at:end])))])
-                at = end
+            for s, at, end in B.runs(s2):
+                yield _packed([(s, number, GRAMS, s, B.squeeze(B.planes(np.diff(rest[at:end], prepend=np.uint64(0))), B.planes(times[at:end])))])
 
     return work
 
@@ -168,7 +166,7 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _count(n: int):
     """Per section: counts the words and bigrams, makes the slice, answers the blocks. A task holds the packed
-    words and bigrams of its section; there are as many sections as shuffle partitions."""
+    words and bigrams of its section; sections follow the size of the input."""
 
     def work(batches):
         words, grams = defaultdict(list), defaultdict(list)

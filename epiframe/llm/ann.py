@@ -3,16 +3,25 @@
 Vectors are dealt to the lists of a coarse quantizer. A query probes its nearest lists; in each, rotated vectors
 are scanned in blocks of columns. After each block a hypothesis test compares the partial distance, scaled to all
 dimensions, with the query's present k-th distance, and candidates that are far beyond it are abandoned; a random
-rotation makes the test valid. Survivors get their exact distance on the original vectors.
+rotation makes the test valid. The k-th distance is that of the k candidates which look nearest after the block, and
+only ever falls. Survivors get their exact distance on the original vectors.
 
-The quantizer and the number of probed lists are fitted on at most ``SAMPLE`` vectors, those least by a hash of
-their id: probes are doubled until the sample's own neighbours are found at ``RECALL``. Every vector is indexed.
-Lists are split into pieces of about ``PIECE`` vectors by a hash of the id, so a list that holds a third of all
-rows is scanned by many tasks; a query meets every piece of a list it probes.
+There are about as many lists as the square root of the vectors: up to ``COARSE`` centres, and beyond that each
+centre's list is divided by a second quantizer, of what is left of a vector when its centre is taken off. Both and the
+number of probed lists are fitted on at most ``SAMPLE`` vectors, those least by a hash of their id: probes are doubled
+until the sample's own neighbours are found at ``RECALL``. Every vector is indexed. A query whose probed lists hold
+too few vectors is scanned over all lists.
+
+Equal vectors are one candidate and equal queries one search: of each vector only the k + 1 least ids can be
+neighbours, since ties go to the least id, and the answer of equal queries is told to each of them. So a vector that a
+third of all rows hold is scanned once. Lists are split into pieces of about ``PIECE`` vectors, and a list's queries
+into parts of about ``PART``; each part meets each piece in a task of its own, with a bound of its own.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite numbers take no
-part, nor do rows with a null id; a query whose id repeats is taken once, with its least vector; rows with the
-query's id are never its neighbours; ties go to the smaller id; fewer candidates than k give fewer rows.
+part, nor do rows with a null id; repeats of an id with its vector count once; a query whose id has several vectors is
+taken with the least one, and the others are not replaced where they are among its nearest; rows with the query's id
+are never its neighbours; ties go to the smaller id; fewer candidates than k give fewer rows; extra columns are
+ignored; an empty table gives an empty one. Equal queries are told by a 128-bit digest.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from pyspark.sql import functions as F
 
 from epiframe.llm.common import materialize, table
 
-K, SAMPLE, PIECE, SEED, RECALL, MAX_LISTS = 10, 20_000, 8192, 7, 0.985, 4096
+K, SAMPLE, PIECE, PART, SEED, RECALL, COARSE = 10, 20_000, 8192, 1024, 7, 0.985, 4096
 BLOCK, EPSILON = 16, 2.1
 QUERY_EVERY = 100
 
@@ -45,104 +54,152 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
 
 
+def _centres(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Up to ``n`` centres by Lloyd's steps."""
+    distinct = np.unique(x, axis=0)
+    out = distinct[rng.permutation(len(distinct))[:n]]
+    for _ in range(8):
+        near = _distances(x, out).argmin(1)
+        k = np.bincount(near, minlength=len(out))
+        sums = np.zeros_like(out)
+        np.add.at(sums, near, x)
+        out = np.where(k[:, None] > 0, sums / np.maximum(k, 1)[:, None], out)
+    return out
+
+
 class Quantizer:
-    """Centres by Lloyd's steps, a rotation, and the number of lists to probe."""
+    """Centres, parts of their lists, a rotation, and the number of lists to probe."""
 
-    def __init__(self, x: np.ndarray, lists: int):
+    def __init__(self, x: np.ndarray, lists: int, coarse: int = COARSE):
         rng = np.random.default_rng(SEED)
         self.dim = x.shape[1]
-        distinct = np.unique(x, axis=0)
-        self.centres = distinct[rng.permutation(len(distinct))[:lists]]
-        for _ in range(8):
-            near = _distances(x, self.centres).argmin(1)
-            n = np.bincount(near, minlength=len(self.centres))
-            sums = np.zeros_like(self.centres)
-            np.add.at(sums, near, x)
-            self.centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], self.centres)
+        self.centres = _centres(x, min(lists, coarse), rng)
+        near = _distances(x, self.centres).argmin(1)
+        parts = -(-lists // coarse)
+        self.parts = _centres(x - self.centres[near], parts, rng) if parts > 1 else np.zeros((1, self.dim))
         self.rotation = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
-        near, asked = _distances(x, self.centres).argmin(1), x[:: max(1, len(x) // 200)]
-        order = _distances(asked, self.centres).argsort(1, kind="stable")
-        exact = np.argpartition(_distances(asked, x), min(K, len(x) - 1), axis=1)[:, : K + 1]
-        place = np.argsort(order, axis=1)  # where each list stands in a query's order
-        stands = np.take_along_axis(place, near[exact], 1)
-        self.probes = min(4, len(self.centres))
-        while self.probes < len(self.centres) and (stands < self.probes).mean() < RECALL:
-            self.probes = min(2 * self.probes, len(self.centres))
-
-    def lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        return _distances(x, self.centres).argsort(1, kind="stable")[:, :n]
-
-
-def scan(q: np.ndarray, q_id: int, turned_q: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        every = np.arange(0, len(x), max(1, len(x) // 200))
+        d = _distances(x[every], x)
+        d[np.arange(len(every)), every] = np.inf  # a query is none of its own neighbours
+        k = min(K, len(x) - 1)
+        want = self.lists_of(x)[np.argpartition(d, max(k - 1, 0), axis=1)[:, :k]]
+        self.probes = min(4, self.lists)
+        while self.probes < self.lists and k and (want[:, :, None] == self.order(x[every], self.probes)[:, None, :]).any(2).mean() < RECALL:
+            self.probes = min(2 * self.probes, self.lists)
+
+    @property
+    def lists(self) -> int:
+        return len(self.centres) * len(self.parts)
+
+    def lists_of(self, x: np.ndarray) -> np.ndarray:
+        near = _distances(x, self.centres).argmin(1)
+        return near * len(self.parts) + _distances(x - self.centres[near], self.parts).argmin(1)
+
+    def order(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest lists of each vector, among those of its n nearest centres."""
+        n, m = min(n, self.lists), len(self.parts)
+        near = _distances(x, self.centres).argsort(1, kind="stable")[:, :n]
+        out = np.empty((len(x), n), np.int64)
+        for i, q in enumerate(x):
+            d = _distances(q - self.centres[near[i]], self.parts).ravel()
+            best = np.argsort(d, kind="stable")[:n]
+            out[i] = near[i][best // m] * m + best % m
+        return out
+
+
+def scan(q: np.ndarray, turned_q: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest of one piece, as (ids, distances)."""
-    dim = x.shape[1]
-    left = np.flatnonzero(ids != q_id)
-    part = ((turned[left, :BLOCK] - turned_q[:BLOCK]) ** 2).sum(1)
-    if len(left) > k:  # exact distances of the most promising give a first bound
+    dim, left, bound = x.shape[1], np.arange(len(ids)), np.inf
+    part = ((turned[:, :BLOCK] - turned_q[:BLOCK]) ** 2).sum(1)
+    for at in range(BLOCK, dim, BLOCK):
+        if len(left) <= k:
+            break
+        # the present k-th distance: that of the k which look nearest
         first = left[np.argpartition(part, k - 1)[:k]]
-        bound = np.max(((x[first] - q) ** 2).sum(1))
-        for at in range(BLOCK, dim + 1, BLOCK):
-            seen = min(at, dim)
-            # abandon where the scaled partial distance exceeds the bound by more than chance allows
-            limit = bound if seen == dim else bound * (1 + EPSILON / np.sqrt(seen)) ** 2 * seen / dim
-            keep = part <= limit * (1 + 1e-9) + 1e-12
-            left, part = left[keep], part[keep]
-            if seen == dim or len(left) <= k:
-                break
-            nxt = slice(at, min(at + BLOCK, dim))
-            part = part + ((turned[left, nxt] - turned_q[nxt]) ** 2).sum(1)
+        bound = min(bound, np.max(((x[first] - q) ** 2).sum(1)))
+        # abandon where the scaled partial distance exceeds it by more than chance allows
+        keep = part <= bound * (1 + EPSILON / np.sqrt(at)) ** 2 * at / dim * (1 + 1e-9) + 1e-12
+        left, part = left[keep], part[keep]
+        nxt = slice(at, min(at + BLOCK, dim))
+        part = part + ((turned[left, nxt] - turned_q[nxt]) ** 2).sum(1)
     d = np.sqrt(((x[left] - q) ** 2).sum(1))
     best = np.lexsort((ids[left], d))[:k]
     return ids[left][best], d[best]
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
+def _scanned(dealt: DataFrame, probes: DataFrame, shared, k: int) -> DataFrame:
+    """(rep, vec_id, score): the k nearest of each (rep, q, list) within the pieces of (vec_id, v, list)."""
+    dim = shared.value.dim
+    size = lambda d, per, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    cuts = size(dealt, PIECE, "pieces").join(size(probes, PART, "parts"), "list")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = probes.join(cuts, "list").select("rep", "q", "list", own("rep", "parts").alias("part"), every("pieces").alias("piece"))
+    held = dealt.join(cuts, "list").select("vec_id", "v", "list", own("vec_id", "pieces").alias("piece"), every("parts").alias("part"))
+
+    def work(held: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[str, int, float]] = []
+        if held.num_rows and asked.num_rows:
+            turn = shared.value.rotation
+            ids, x = np.asarray(held["vec_id"], np.int64), _matrix(held["v"], dim)
+            reps, qs = asked["rep"].to_pylist(), _matrix(asked["q"], dim)
+            turned, turned_q = x @ turn, qs @ turn
+            for i, r in enumerate(reps):
+                found, d = scan(qs[i], turned_q[i], ids, x, turned, k)
+                out += zip([r] * len(found), found.tolist(), d.tolist(), strict=True)
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"rep": pa.array(cols[0], pa.string()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    met = held.groupBy("list", "piece", "part").cogroup(asked.groupBy("list", "piece", "part")).applyInArrow(work, "rep string, vec_id long, score double")
+    return _least(met, "rep", k)
+
+
+def _least(found: DataFrame, key: str, k: int) -> DataFrame:
+    order = Window.partitionBy(key).orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, coarse: int = COARSE) -> DataFrame:
     """(query_id, rank, vec_id, score) of every query."""
     spark = vectors.sparkSession
     sizes = valid(vectors).groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = int(sizes.d), int(sizes.n)
     rows = valid(vectors, dim)
     drawn = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id", "v").limit(SAMPLE).select("v").toArrow()  # SAMPLE rows
-    grid = Quantizer(_matrix(drawn["v"], dim), min(MAX_LISTS, max(1, int(np.sqrt(total)))))
-    shared = spark.sparkContext.broadcast(grid)  # MAX_LISTS centres at most
+    grid = Quantizer(_matrix(drawn["v"], dim), max(1, int(np.sqrt(total))), coarse)
+    shared, n_probes = spark.sparkContext.broadcast(grid), grid.probes  # 2 * COARSE centres and parts at most up to 2^48 vectors
 
     def deal(batches):
         for b in batches:
-            near = shared.value.lists(_matrix(b.column(1), dim), 1)[:, 0] if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], names=["vec_id", "v", "list"])
+            near = shared.value.lists_of(_matrix(b.column(1), dim)) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int64())], names=["vec_id", "v", "list"])
 
     def probe(batches):
         for b in batches:
             if b.num_rows:
-                near = shared.value.lists(_matrix(b.column(1), dim), grid_probes)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
-
-    grid_probes = grid.probes
-    dealt = materialize(rows.mapInArrow(deal, "vec_id long, v array<double>, list int"), "ann-lists")
-    pieces = dealt.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(probe, "query_id long, q array<double>, lists array<int>")
-    asked = asked.select("query_id", "q", F.explode("lists").alias("list")).join(pieces, "list").select("query_id", "q", "list", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    held = dealt.join(pieces, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int").alias("piece"))
-
-    def work(held: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if held.num_rows and asked.num_rows:
-            turn = shared.value.rotation
-            ids, x = np.asarray(held["vec_id"], np.int64), _matrix(held["v"], dim)
-            q_ids, qs = np.asarray(asked["query_id"], np.int64), _matrix(asked["q"], dim)
-            turned, turned_q = x @ turn, qs @ turn
-            for i in range(len(qs)):
-                found, d = scan(qs[i], q_ids[i], turned_q[i], ids, x, turned, k)
-                out += zip([int(q_ids[i])] * len(found), found.tolist(), d.tolist(), strict=True)
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    met = held.groupBy("list", "piece").cogroup(asked.groupBy("list", "piece")).applyInArrow(work, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                near = shared.value.order(_matrix(b.column(1), dim), n_probes)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=["rep", "q", "lists"])
+
+    same = Window.partitionBy("v").orderBy("vec_id")
+    able = rows.withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1).select("vec_id", "v").distinct()
+    dealt = materialize(able.mapInArrow(deal, "vec_id long, v array<double>, list long"), "ann-lists")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    asked = materialize(asked.withColumn("rep", F.md5(F.concat_ws(",", F.col("q").cast("array<string>")))), "ann-queries")
+    reps = asked.groupBy("rep").agg(F.any_value("q").alias("q"))
+    probes = materialize(reps.mapInArrow(probe, "rep string, q array<double>, lists array<long>").select("rep", "q", F.explode("lists").alias("list")), "ann-probes")
+    found = materialize(_scanned(dealt, probes, shared, k + 1).select("rep", "vec_id", "score"), "ann-found")
+    full = found.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k + 1, dealt.count()))
+    short = materialize(reps.join(full, "rep", "left_anti"), "ann-short")
+    if not short.isEmpty():  # few lists' worth of vectors near: all lists
+        again = _scanned(dealt, short.select("rep", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.lists - 1).cast("long"))).alias("list")), shared, k + 1)
+        found = found.join(short.select("rep"), "rep", "left_anti").union(again.select("rep", "vec_id", "score"))
+    salts = asked.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("salts"))
+    told = found.join(salts, "rep").select("rep", "vec_id", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    each = asked.select("query_id", "rep").join(salts, "rep").select("query_id", "rep", F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int").alias("salt"))
+    out = _least(each.join(told, ["rep", "salt"]).where("vec_id <> query_id").select("query_id", "vec_id", "score"), "query_id", k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_ann_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

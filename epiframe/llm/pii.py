@@ -89,7 +89,7 @@ def base_spans(text: str) -> list[Span]:
 #: Generators of candidates: name, kind, pattern; group 1 is the span. A character class before each keeps a
 #: scan from starting within a run.
 _GENERATORS = tuple((name, kind, re.compile(p, re.A)) for name, kind, p in (
-    ("spelled_email", "email", r"(?i)(?<![\w.+-])([\w.+-]{1,64}+ ?[(\[{]? ?at ?[)\]}]? ?[a-z0-9-]{1,63}+(?: ?[(\[{] ?dot ?[)\]}] ?[a-z0-9-]{1,63}+| dot [a-z0-9-]{1,63}+)+)(?![\w])"),
+    ("spelled_email", "email", r"(?i)(?<![\w.+-])([\w.+-]++ ?[(\[{]? ?at ?[)\]}]? ?[a-z0-9-]++(?: ?[(\[{] ?dot ?[)\]}] ?[a-z0-9-]++| dot [a-z0-9-]++)+)(?![\w])"),
     ("local_phone", "phone", r"(?<![\w+.-])(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])"),
     ("named_number", "phone", r"(?i)\b(?:phone|tel|mobile|call|fax)\b[.:# ]{0,3}([0-9(][0-9 ().-]{5,20}[0-9])(?![\w-])"),
     ("dashed_number", "account", r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
@@ -195,7 +195,7 @@ def find(text: str, fitted=None) -> tuple[list[Span], list[Span]]:
     if proposed:
         p = 1 / (1 + np.exp(-(a * trees.decision(np.array([features(text, s, e, g) for s, e, _, g in proposed])) + b)))
         exact = sorted((s, e) for s, e, _ in base)
-        taken = list(exact)
+        taken = _merged(exact)
         for _, s, e, kind in sorted((-q, s, e, kind) for q, (s, e, kind, _) in zip(p.tolist(), proposed, strict=True) if q >= limits[kind]):
             inside = [x for x in exact[bisect_left(exact, (s,)) : bisect_left(exact, (e,))] if x[1] <= e] if kind == "secret" else []
             added += [(i, j, kind) for i, j in _beside(s, e, inside) if _free(taken, i, j)]
@@ -213,14 +213,23 @@ def _beside(start: int, end: int, inside: list[tuple[int, int]]) -> Iterator[tup
         yield start, end
 
 
-def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether no span in the sorted list overlaps; if so the span joins the list."""
-    from bisect import bisect_left, insort
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans as ones that do not overlap; base spans of several kinds may nest."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
 
+
+def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether no span in the sorted list of spans that do not overlap is met; if so the span joins the list."""
     i = bisect_left(taken, (start, end))
-    if (i and any(e > start for _, e in taken[max(0, i - 4) : i])) or (i < len(taken) and taken[i][0] < end):
+    if (i and taken[i - 1][1] > start) or (i < len(taken) and taken[i][0] < end):
         return False
-    insort(taken, (start, end))
+    taken.insert(i, (start, end))
     return True
 
 

@@ -9,8 +9,11 @@ once, level by level; leaves whose marginal of content is above one half are the
 All factors are relative frequencies counted on ``PAGES`` labelled pages, which a seeded generator writes in many
 layouts (menus, headers, adverts, notices, sidebars, forms, comments, footers around and within articles).
 
+Elements that are not displayed (``hidden``, or ``display: none`` in their style) give no text.
+
 Edge cases: null or empty html gives an empty text; unclosed tags, comments, quotes and scripts are tolerated; a
-page of any length is read whole; repeated rows give repeated results; extra columns are ignored.
+page of any length is read whole; repeated rows give repeated results; null ids and urls stay null; extra columns are
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ _name = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: An attribute up to its value's end, or to the quote (group 1) that opens its value.
 _attribute = re.compile(r"[\s/]*+(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:([\"'])|[^\s>]*+))?)?")
 _attr = re.compile(r"(?i)\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
-_hidden_style = re.compile(r"(?i)display\s*:\s*none|\bhidden\b")
+_quoted = re.compile(r"\"[^\"]*\"|'[^']*'")
+_hidden_style = re.compile(r"(?i)\bstyle\s*=\s*(?:\"[^\"]*?\bdisplay\s*:\s*none|'[^']*?\bdisplay\s*:\s*none|display:none)")
+_hidden_flag = re.compile(r"(?i)(?:^|\s)hidden(?=[\s=/]|$)")
 _part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Words of class, id and role attributes, by what they tell.
 _WORDS = {w: group for group, words in {
@@ -76,6 +81,11 @@ class Tree:
         return len(self.parents) - 1
 
 
+def _unseen(attributes: str) -> bool:
+    """Whether the attributes take an element off the page: ``hidden``, or a style that displays nothing."""
+    return bool(_hidden_style.search(attributes) or _hidden_flag.search(_quoted.sub("''", attributes)))
+
+
 def _element_features(tag: str, attributes: str) -> list[str]:
     out = [f"t:{tag}"]
     if attributes and not attributes.isspace():
@@ -127,14 +137,17 @@ def parse(page: str) -> Tree:
     buffer: list[str] = []
     linked = links = 0
     at, end, last = 0, len(page), page.rfind(">")
+    unseen: tuple[str, int] | None = None  # an inline element that is not displayed, and how many of its name are open
+    covered = 0  # depth of the outermost block that is not displayed, 0 where there is none
     quotes, dead = {q: page.rfind(q) for q in "\"'"}, set()
 
     def flush():
-        nonlocal linked
+        nonlocal linked, unseen
+        unseen = None
         if buffer:
             text = " ".join(html_lib.unescape("".join(buffer)).split())
             buffer.clear()
-            if text:
+            if text and not covered:
                 tag, node = stack[-1]
                 leaf = tree.add(node, "#text", _leaf_features(text, linked, tag))
                 tree.texts[leaf] = text
@@ -142,10 +155,12 @@ def parse(page: str) -> Tree:
 
     def close(names: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
         """Ends the innermost open element of these names, unless the scope's element is nearer."""
+        nonlocal covered
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 flush()
                 del stack[i:]
+                covered = covered if covered < len(stack) else 0
                 return
             if stack[i][0] in scope:
                 return
@@ -154,7 +169,7 @@ def parse(page: str) -> Tree:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and unseen is None:
             buffer.append(page[at:lt])
             linked += (lt - at) if links else 0
         if lt == end:
@@ -177,6 +192,11 @@ def parse(page: str) -> Tree:
             continue
         slash, tag, attributes, at = m
         tag = tag.lower()
+        if tag not in _BLOCK and tag not in _HIDDEN and tag not in _VOID:
+            if unseen is not None and tag == unseen[0]:
+                unseen = (tag, unseen[1] + (-1 if slash else 1)) if not slash or unseen[1] > 1 else None
+            elif unseen is None and not slash and _unseen(attributes):
+                unseen = (tag, 1)
         if slash:
             if tag == "a":
                 links = max(0, links - 1)
@@ -201,6 +221,8 @@ def parse(page: str) -> Tree:
             links = 0
             if tag not in _VOID:
                 stack.append((tag, tree.add(stack[-1][1], tag, _element_features(tag, attributes))))
+                if not covered and tag not in ("html", "body") and _unseen(attributes):
+                    covered = len(stack) - 1
         elif tag == "a":
             links += 1
         elif tag == "br" or tag in ("img", "input", "textarea"):

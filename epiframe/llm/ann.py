@@ -36,6 +36,8 @@ from epiframe.llm.common import materialize, table
 K, SAMPLE, PIECE, PART, SEED, RECALL, COARSE = 10, 20_000, 8192, 1024, 7, 0.985, 4096
 BLOCK, EPSILON = 16, 2.1
 QUERY_EVERY = 100
+#: Lists up to which their table (three numbers a list) is broadcast; with more of them it is joined by shuffle.
+BROADCAST_LISTS = 200_000
 
 
 def valid(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -132,6 +134,8 @@ def _scanned(dealt: DataFrame, probes: DataFrame, shared, k: int) -> DataFrame:
     dim = shared.value.dim
     size = lambda d, per, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
     cuts = size(dealt, PIECE, "pieces").join(size(probes, PART, "parts"), "list")
+    if shared.value.lists <= BROADCAST_LISTS:  # one row a list
+        cuts = F.broadcast(cuts)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     asked = probes.join(cuts, "list").select("rep", "q", "list", own("rep", "parts").alias("part"), every("pieces").alias("piece"))

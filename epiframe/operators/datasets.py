@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Words that tell image and joint topics by name.
+IMAGE_WORDS = ("camera", "image", "rgb")
+JOINT_WORDS = ("joint", "state", "action", "qpos", "proprio")
 CONFLICTS = {"format_mismatch": "format_id", "fps_mismatch": "fps", "robot_mismatch": "robot_type", "camera_mismatch": "cameras", "feature_mismatch": "features", "dialect_mismatch": "dialect", "native_schema_mismatch": "schema_sig"}
 
 
@@ -56,6 +59,12 @@ def task_vocabulary(rows: DataFrame, task: str, order: list[str]) -> DataFrame:
     return first.select(task, (F.row_number().over(Window.orderBy("__first")) - 1).cast("long").alias("task_index"))
 
 
+def remap_tasks(rows: DataFrame, vocabulary: DataFrame, task: str, index: str = "task_index") -> DataFrame:
+    """Rows with their task's index in the vocabulary; a task that is not in it keeps its index."""
+    v = vocabulary.select(F.col(task), F.col(index).alias("__new"))
+    return rows.join(v, task, "left").withColumn(index, F.coalesce("__new", index)).drop("__new")
+
+
 def merge_frames(sources: DataFrame) -> DataFrame:
     """Frames of (source, episode_index, frame_index, ...) renumbered as one dataset: sources in order, episodes
     within them; only one row an episode is ordered as a whole."""
@@ -78,13 +87,13 @@ def preflight(sources: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def is_image_topic(topic: Column, schema: Column) -> Column:
     t, n = F.lower(topic), F.lower(F.coalesce(schema, F.lit("")))
-    plain = t.contains("compressed") & (t.contains("camera") | t.contains("image") | t.contains("rgb"))
+    plain = t.contains("compressed") & F.exists(F.array(*[F.lit(w) for w in IMAGE_WORDS]), lambda w: t.contains(w))
     return F.when(t.contains("camera_info") | n.contains("calibration"), False).otherwise(n.contains("compressedimage") | n.endswith(".image") | n.endswith("rawimage") | plain)
 
 
 def is_joint_topic(topic: Column, schema: Column) -> Column:
     t, n = F.lower(topic), F.lower(F.coalesce(schema, F.lit("")))
     out = t.contains("pose") | n.contains("poseinframe") | n.contains("jointstate") | n.contains("float64multiarray")
-    for word in ("joint", "state", "action", "qpos", "proprio"):
+    for word in JOINT_WORDS:
         out = out | t.contains(word)
     return out

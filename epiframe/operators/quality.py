@@ -29,7 +29,7 @@ def score_episodes(episodes: DataFrame, findings: DataFrame) -> DataFrame:
     f = findings.join(episodes.select("episode_index", "duration"), "episode_index")
     timed = F.col("start_s").isNotNull() & F.col("end_s").isNotNull()
     bad = I.union_duration(f.where(F.col("severity").isin("error", "fatal") & timed))
-    weighed = f.withColumn("weight", _by_severity(SEVERITY_WEIGHTS) * F.col("confidence"))
+    weighed = f.withColumn("weight", _by_severity(SEVERITY_WEIGHTS) * F.coalesce("confidence", F.lit(1.0)))
     penalty = I.sweep(weighed.where(timed)).groupBy("episode_index").agg(F.sum((F.col("right_s") - F.col("left_s")) * F.col("weight")).alias("weighted_s"))
     used = timed & (F.col("duration") > 0) & (F.col("end_s") > F.col("start_s"))
     flags = f.groupBy("episode_index").agg(F.max(F.when(~used | ~timed, _by_severity(UNTIMED)).otherwise(0.0)).alias("untimed"), F.max("hard_invalid").alias("hard"), F.max(F.col("severity") == "fatal").alias("fatal"), F.max(F.col("severity") == "error").alias("error"))

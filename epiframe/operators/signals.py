@@ -103,16 +103,24 @@ def downsample(rows: DataFrame, keys: list[str], order: str, cap: int, even: boo
     """At most ``cap`` rows of each group: evenly from first to last (half-even rounding), or at floor(i n / cap)."""
     w = Window.partitionBy(*keys)
     d = rows.withColumns({"__n": F.count(F.lit(1)).over(w), "__i": (F.row_number().over(w.orderBy(order)) - 1)})
-    picks = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: (F.rint(i * ((F.col("__n") - 1) / F.lit(float(max(1, cap - 1)))) if even else F.floor(i * F.col("__n") / cap))).cast("long"))
-    return d.where((F.col("__n") <= cap) | F.array_contains(picks, F.col("__i").cast("long"))).drop("__n", "__i")
+    step = (F.col("__n") - 1) / F.lit(float(max(1, cap - 1))) if even else F.col("__n") / F.lit(float(cap))
+    at = lambda k: F.rint(k * step) if even else F.floor(k * F.col("__n") / cap)
+    # the pick that could fall on row i is the i / step'th or a neighbour of it
+    near = F.floor(F.col("__i") / F.greatest(step, F.lit(1e-9)))
+    hit = F.lit(False)
+    for off in (-1, 0, 1, 2):
+        k = near + off
+        hit = hit | ((k >= 0) & (k < cap) & (at(k).cast("long") == F.col("__i")))
+    return d.where((F.col("__n") <= cap) | hit).drop("__n", "__i")
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], order: str, length: int) -> DataFrame:
     """Each group stretched or cut to ``length`` rows: row i is source row rint(i (n - 1) / (length - 1))."""
-    w = Window.partitionBy(*keys)
-    d = rows.withColumns({"__n": F.count(F.lit(1)).over(w), "__i": (F.row_number().over(w.orderBy(order)) - 1).cast("long")})
-    want = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.struct(i.cast("long").alias("target"), F.rint(i * (F.col("__n") - 1) / float(max(1, length - 1))).cast("long").alias("src")))
-    return d.withColumn("__t", F.explode(F.filter(want, lambda x: x["src"] == F.col("__i")))).withColumn("target", F.col("__t.target")).drop("__n", "__i", "__t")
+    d = rows.withColumn("__i", (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))  # picks come from one row a group
+    want = n.select(*keys, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("target"))
+    want = want.select(*keys, "target", F.rint(F.col("target") * (F.col("__n") - 1) / float(max(1, length - 1))).cast("long").alias("__i"))
+    return d.join(want, [*keys, "__i"]).select(*rows.columns, "target")
 
 
 def positional_zip(left: DataFrame, right: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -11,7 +11,8 @@ QUANTILES = {"q01": 0.01, "q10": 0.10, "q50": 0.50, "q90": 0.90, "q99": 0.99}
 def feature_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """min, max, mean, population std, count and exact quantiles of finite values per key."""
     q = F.percentile(value, F.array(*[F.lit(p) for p in QUANTILES.values()]))
-    d = rows.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("count"), q.alias("q"))
+    v = F.col(value).cast("double")
+    d = rows.withColumn(value, F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)).groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("count"), q.alias("q"))
     return d.select(*keys, "min", "max", "mean", "std", "count", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)])
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe import proxy
-from epiframe.operators import detectors
+from epiframe.functions import kernels as K
+from epiframe.operators import detectors, tables
 from epiframe.plans.registry import query
 from epiframe.plans.signal_queries import _HITS, _LOCAL
 from epiframe.proxy import FPS, table, with_views
@@ -26,76 +27,72 @@ def motion_jitter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("SELECT episode_index, frame_index FROM frames WHERE frame_index % 5 = 0", "frames"))
 def stride_sampling(spark: SparkSession, d: str) -> DataFrame:
-    return proxy.frames(spark, d).where("frame_index % 5 = 0").select("episode_index", "frame_index")
+    return tables.every_nth(proxy.frames(spark, d), 5).select("episode_index", "frame_index")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('7|' || o_orderkey), o_orderkey LIMIT 25")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """25 episodes by a seeded digest: the sample is the feature."""
-    return table(spark, d, "orders").select("o_orderkey").orderBy(F.md5(F.concat(F.lit("7|"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(25)
+    return tables.sample_of(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 25, 7)
 
 
 @query(with_views("""s AS (SELECT episode_index, string_agg(DISTINCT topic, ',' ORDER BY topic) AS cameras FROM frames GROUP BY 1)
 SELECT cameras, count(*) AS episodes, count(*) = (SELECT count(*) FROM s) AS consistent FROM s GROUP BY 1""", "frames"))
 def camera_set_equality(spark: SparkSession, d: str) -> DataFrame:
-    s = proxy.frames(spark, d).groupBy("episode_index").agg(F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("cameras"))
-    g = s.groupBy("cameras").agg(F.count(F.lit(1)).alias("episodes"))
-    return g.select("cameras", "episodes", (F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) == 1).alias("consistent"))
+    return tables.set_groups(proxy.frames(spark, d), "episode_index", "topic").withColumnsRenamed({"members": "cameras", "keys": "episodes"})
 
 
-@query("SELECT label, count(DISTINCT sha256(CAST(len(embedding) AS VARCHAR) || '|' || label % 2)) AS signatures, count(DISTINCT len(embedding)) = 1 AS same FROM embeddings GROUP BY 1")
+@query("SELECT p_brand, count(DISTINCT sha256(concat_ws('|', p_type, CAST(p_size AS VARCHAR)))) AS signatures, count(DISTINCT sha256(concat_ws('|', p_type, CAST(p_size AS VARCHAR)))) = 1 AS same FROM part GROUP BY 1")
 def schema_signature_set(spark: SparkSession, d: str) -> DataFrame:
-    sig = F.sha2(F.concat(F.size("embedding").cast("string"), F.lit("|"), (F.col("label") % 2).cast("string")), 256)
-    return table(spark, d, "embeddings").groupBy("label").agg(F.countDistinct(sig).alias("signatures"), (F.countDistinct(F.size("embedding")) == 1).alias("same"))
+    return tables.signatures(table(spark, d, "part"), "p_brand", F.col("p_type"), F.col("p_size"))
 
 
-@query("SELECT vec_id, len(embedding) = 64 AS shaped, len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AS finite FROM embeddings")
+@query("SELECT vec_id, CASE WHEN label % 4 = 0 THEN 'horizon' WHEN label % 4 = 1 THEN 'width' WHEN len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0 OR label % 4 = 2 THEN 'non_finite' END AS fault FROM embeddings")
 def action_chunk_check(spark: SparkSession, d: str) -> DataFrame:
-    ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return table(spark, d, "embeddings").select("vec_id", (F.size("embedding") == 64).alias("shaped"), ok.alias("finite"))
+    """Chunks of two rows each; a quarter of them short of a row, of a dimension, or spoiled."""
+    v, k = F.col("embedding"), F.col("label") % 4
+    spoiled = F.transform(v, lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x))
+    chunk = F.when(k == 0, F.array(v)).when(k == 1, F.array(v, F.slice(v, 1, 63))).when(k == 2, F.array(v, spoiled)).otherwise(F.array(v, v))
+    return table(spark, d, "embeddings").select("vec_id", K.chunk_faults(chunk, 2, 64).alias("fault"))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(range(0, 4), lambda i: CAST(p_size AS VARCHAR)), ',') AS hold FROM part")
 def hold_chunk(spark: SparkSession, d: str) -> DataFrame:
     """A baseline repeated over the horizon."""
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_repeat(F.col("p_size").cast("string"), 4), ",").alias("hold"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(K.hold_chunk(F.col("p_size").cast("string"), 4), ",").alias("hold"))
 
 
-@query("SELECT vec_id, round(CAST(embedding[3] AS DOUBLE), 6) AS j2, round(CAST(embedding[1] AS DOUBLE), 6) AS j0, len(embedding) < 3 AS missing FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(list_reverse(embedding), lambda x: printf('%.4f', CAST(x AS DOUBLE))), ',') AS turned, 'j64' AS missing FROM embeddings")
 def joint_reorder(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*[F.lit(f"j{i}") for i in range(64)])
-    m = table(spark, d, "embeddings").select("vec_id", F.map_from_arrays(F.slice(names, F.lit(1), F.size("embedding")), "embedding").alias("m"))
-    v = F.transform(F.array(F.lit("j2"), F.lit("j0")), lambda j: F.round(F.try_element_at("m", j).cast("double"), 6))
-    return m.select("vec_id", v[0].alias("j2"), v[1].alias("j0"), (~F.map_contains_key("m", "j2")).alias("missing"))
+    """All joints in the opposite order, and one that there is not."""
+    e, names = table(spark, d, "embeddings"), F.array(*[F.lit(f"j{i}") for i in range(64)])
+    v = K.reorder_joints(names, F.col("embedding"), [f"j{i}" for i in reversed(range(64))])
+    return e.select("vec_id", F.array_join(F.transform(v, lambda x: F.format_string("%.4f", x.cast("double"))), ",").alias("turned"), F.array_join(K.missing_joints(names, ["j3", "j64"]), ",").alias("missing"))
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 3")
 def event_log_tail(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"))
-    return table(spark, d, "conversations").withColumn("r", F.row_number().over(w)).where("r <= 3").select("conv_id", "turn", "role")
+    return K.log_tail(table(spark, d, "conversations"), ["conv_id"], ["turn", "role"], 3).select("conv_id", "turn", "role")
 
 
-@query("SELECT DISTINCT s_nationkey AS missing FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0)")
+@query("SELECT DISTINCT c_nationkey AS missing FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
 def recipe_integrity(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").where("n_nationkey % 2 = 0")
-    return table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select(F.col("s_nationkey").alias("missing")).distinct()
+    return K.undefined_references(table(spark, d, "customer"), "c_nationkey", table(spark, d, "supplier"), "s_nationkey")
 
 
 @query(with_views("SELECT id, abs(1705000000000000 - t_us) <= 86400000000 AS fresh FROM messages", "messages"))
 def timestamp_age(spark: SparkSession, d: str) -> DataFrame:
-    return proxy.messages(spark, d).select("id", (F.abs(F.lit(1705000000000000) - F.col("t_us")) <= 86400000000).alias("fresh"))
+    return proxy.messages(spark, d).select("id", K.is_fresh(F.col("t_us"), 1705000000000000, 86400000000).alias("fresh"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, 0) + coalesce(l_discount, 0) + coalesce(l_tax, 0), 6) AS latency FROM lineitem")
 def end_to_end_latency(spark: SparkSession, d: str) -> DataFrame:
-    total = sum((F.coalesce(c, F.lit(0.0)) for c in ("l_discount", "l_tax")), F.coalesce("l_quantity", F.lit(0.0)))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(total, 6).alias("latency"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(K.latency("l_quantity", "l_discount", "l_tax"), 6).alias("latency"))
 
 
-@query("SELECT 'demo_' || c_custkey AS name, row_number() OVER (ORDER BY length('demo_' || c_custkey), 'demo_' || c_custkey) - 1 AS place FROM customer WHERE c_nationkey = 3")
+@query("SELECT 'demo_' || c_custkey AS name, row_number() OVER (ORDER BY length('demo_' || c_custkey), 'demo_' || c_custkey) - 1 AS place FROM customer")
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("demo_"), F.col("c_custkey").cast("string")).alias("name"))
-    return c.select("name", (F.row_number().over(Window.orderBy(F.length("name"), "name")) - 1).cast("long").alias("place"))
+    return tables.natural_order(table(spark, d, "customer").select(F.concat(F.lit("demo_"), F.col("c_custkey").cast("string")).alias("name")))
 
 
 @query("SELECT l_suppkey AS finding, arg_max(l_returnflag, (l_orderkey * 100 + l_linenumber) * 10000 + l_partkey % 10000) AS status, count(*) AS entries FROM lineitem GROUP BY 1")
@@ -107,17 +104,15 @@ def review_latest_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_brand AS id, count(*) > 1 AS repeated, NOT regexp_full_match(p_brand, '[A-Za-z][A-Za-z0-9_-]{0,63}') AS malformed FROM part GROUP BY 1")
 def review_reason_validation(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg((F.count(F.lit(1)) > 1).alias("repeated"))
-    return g.withColumn("malformed", ~F.col("id").rlike("^[A-Za-z][A-Za-z0-9_-]{0,63}$"))
+    return K.reason_faults(table(spark, d, "part"), "p_brand")
 
 
-@query("""WITH a AS (SELECT label, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT j, avg(x) AS target FROM a WHERE j <= 60 GROUP BY 1)
+@query("""WITH a AS (SELECT label, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), b AS (SELECT j, avg(x) AS target FROM a WHERE j <= 60 GROUP BY 1)
 SELECT label, round(max(abs(x - target)), 6) AS error, max(abs(x - target)) <= 0.4 AS reached, count(*) FILTER (target IS NULL) > 0 AS missing FROM a LEFT JOIN b USING (j) GROUP BY 1""")
 def pose_error(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "embeddings").where("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("j", "x")).withColumn("x", F.col("x").cast("double"))
-    b = a.where("j < 60").groupBy("j").agg(F.avg("x").alias("target"))
-    e = F.max(F.abs(F.col("x") - F.col("target")))
-    return a.join(b, "j", "left").groupBy("label").agg(F.round(e, 6).alias("error"), (e <= 0.4).alias("reached"), (F.count_if(F.col("target").isNull()) > 0).alias("missing"))
+    a = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("joint", "value")).withColumn("value", F.col("value").cast("double"))
+    b = a.where("joint < 60").groupBy("joint").agg(F.avg("value").alias("target"))
+    return K.pose_errors(a, b, ["label"], 0.4).withColumn("error", F.round("error", 6))
 
 
 @query(with_views("""n AS (SELECT episode_index, count(*) AS n FROM frames GROUP BY 1)
@@ -133,11 +128,10 @@ def retention_ttl(spark: SparkSession, d: str) -> DataFrame:
     """What is older than its family's days to live."""
     o = table(spark, d, "orders")
     now = o.agg(F.max("o_orderdate").alias("now"))  # one row
-    days = F.when(F.col("o_orderstatus") == "F", 400).otherwise(800)
-    return o.join(F.broadcast(now)).where(F.datediff("now", "o_orderdate") > days).select("o_orderkey")
+    return K.expired(o.join(F.broadcast(now)), F.datediff("now", "o_orderdate"), F.col("o_orderstatus"), {"F": 400}, 800).select("o_orderkey")
 
 
 @query(with_views("SELECT episode_index, n, action_n, abs(action_n - n) > greatest(2, n // 10) AS rejected FROM (SELECT episode_index, count(*) AS n, count(*) FILTER (k < 90) AS action_n FROM frames GROUP BY 1)", "frames"))
 def payload_length_check(spark: SparkSession, d: str) -> DataFrame:
     n = proxy.frames(spark, d).groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") < 90).alias("action_n"))
-    return n.withColumn("rejected", F.abs(F.col("action_n") - F.col("n")) > F.greatest(F.lit(2).cast("long"), F.floor(F.col("n") / 10)))
+    return n.withColumn("rejected", K.payload_rejected(F.col("action_n"), F.col("n")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe import proxy
-from epiframe.functions import control
+from epiframe.functions import control, kernels
 from epiframe.operators import datasets as D
 from epiframe.operators import stats as ST
+from epiframe.operators import tables
 from epiframe.plans.registry import query
 from epiframe.proxy import table, with_views
 
@@ -126,11 +127,9 @@ def label_stats_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l.doc_id, row_number() OVER (ORDER BY l.doc_id) - 1 AS new_index, quality FROM labels l JOIN documents d USING (doc_id) WHERE lang = 'en'")
 def labels_remap(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the kept episodes under their new numbers; others go."""
-    from pyspark.sql import Window
-
     kept = table(spark, d, "documents").where("lang = 'en'").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
-    new = kept.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("new_index"))
-    return table(spark, d, "labels").join(new, "doc_id").select("doc_id", "new_index", "quality")
+    new = tables.numbered(kept, F.floor(F.col("doc_id") / 65536), ["doc_id"], "new_index")
+    return tables.remap_episodes(table(spark, d, "labels"), new, "doc_id").select("doc_id", "new_index", "quality")
 
 
 @query("""WITH w AS (SELECT o_custkey AS stream, CAST(epoch_us(min(o_orderdate)) AS BIGINT) AS a, CAST(epoch_us(max(o_orderdate)) AS BIGINT) AS b FROM orders GROUP BY 1)
@@ -148,7 +147,7 @@ def window_range_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def missing_anti(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return tables.missing_from(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 _TOPICS = ["/camera/rgb/compressed", "/joint_states", "/arm/pose", "/camera_info", "/tf", "/front/image"]
@@ -187,16 +186,13 @@ def prefetch_steps(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c_custkey AS k, 'saved' AS origin FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT o_custkey, 'found' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)""")
 def config_union_override(spark: SparkSession, d: str) -> DataFrame:
     """Saved and discovered entries as one list, in which the saved ones win."""
-    saved = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("saved").alias("origin"))
-    found = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().join(saved, "k", "left_anti").select("k", F.lit("found").alias("origin"))
-    return saved.unionByName(found)
+    saved = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
+    return kernels.union_override(saved, table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("""WITH s AS (SELECT event_type, min(epoch_us(ts)) AS t0, max(epoch_us(ts)) - min(epoch_us(ts)) AS span FROM events GROUP BY 1)
 SELECT event_type, CAST(sum(greatest(span, 1) + 3000000) OVER (ORDER BY event_type) - (greatest(span, 1) + 3000000) AS BIGINT) AS starts_at FROM s""")
 def retiming_cursor(spark: SparkSession, d: str) -> DataFrame:
     """Where each recording starts in a merged log: after the spans of those before it and pauses of 3 s."""
-    from pyspark.sql import Window
-
-    s = proxy.messages(spark, d).groupBy(F.col("topic").alias("event_type")).agg((F.greatest(F.max("t_us") - F.min("t_us"), F.lit(1)) + 3_000_000).alias("step"))
-    return s.select("event_type", (F.sum("step").over(Window.orderBy("event_type")) - F.col("step")).alias("starts_at"))
+    s = proxy.messages(spark, d).groupBy(F.col("topic").alias("event_type")).agg((F.max("t_us") - F.min("t_us")).alias("span"))
+    return kernels.retimed(s, "event_type").select("event_type", "starts_at")

@@ -20,4 +20,4 @@ def query(sql: str | None):
     return put
 
 
-from epiframe.plans import control_queries, data_queries, report_queries, signal_queries  # noqa: E402, F401
+from epiframe.plans import control_queries, data_queries, report_queries, signal_queries, table_queries  # noqa: E402, F401

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe import proxy
 from epiframe.operators import intervals as I
 from epiframe.operators import quality as Q
+from epiframe.operators import tables
 from epiframe.plans.registry import query
 from epiframe.proxy import with_views
 
@@ -140,8 +141,7 @@ def selection_split(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("SELECT finding_id, row_number() OVER (PARTITION BY episode_index ORDER BY coalesce(start_s, -1), severity DESC, finding_id, review_status NULLS FIRST) AS place, review_status FROM findings LEFT JOIN reviews USING (finding_id)", "findings", "reviews"))
 def finding_detail_order(spark: SparkSession, d: str) -> DataFrame:
     f = proxy.findings(spark, d).join(proxy.reviews(spark, d), "finding_id", "left")
-    w = Window.partitionBy("episode_index").orderBy(F.coalesce("start_s", F.lit(-1.0)), F.desc("severity"), "finding_id", F.col("review_status").asc_nulls_first())
-    return f.select("finding_id", F.row_number().over(w).cast("long").alias("place"), "review_status")
+    return tables.finding_order(f).select("finding_id", "place", "review_status")
 
 
 @query(with_views("SELECT finding_id || ',' || episode_index || ',' || issue_code || ',' || severity || ',' || coalesce(review_status, '') AS line FROM findings LEFT JOIN reviews USING (finding_id)", "findings", "reviews"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epiframe import proxy
-from epiframe.functions import control
+from epiframe.functions import control, kernels
 from epiframe.operators import intervals as I
 from epiframe.operators import signals as S
 from epiframe.plans.registry import query
@@ -227,8 +227,7 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("m2 AS (SELECT *, max(t_us) OVER (PARTITION BY stream) AS last FROM messages) SELECT stream, id, value FROM m2 WHERE last - t_us <= 86400000000", "messages"))
 def trailing_window(spark: SparkSession, d: str) -> DataFrame:
-    m = proxy.messages(spark, d)
-    return m.withColumn("last", F.max("t_us").over(Window.partitionBy("stream"))).where("last - t_us <= 86400000000").select("stream", "id", "value")
+    return kernels.trailing(proxy.messages(spark, d), ["stream"], "t_us", 86400000000).select("stream", "id", "value")
 
 
 @query(with_views("""i AS (SELECT *, row_number() OVER (PARTITION BY episode_index ORDER BY frame_index) AS i FROM frames), f AS (SELECT *, i - row_number() OVER (PARTITION BY episode_index ORDER BY frame_index) AS g FROM i WHERE value > 20)
@@ -244,9 +243,10 @@ def step_limit_check(spark: SparkSession, d: str) -> DataFrame:
     return control.limit_violations(proxy.frames(spark, d), ["episode_index"], "frame_index", "value", 1.0, 60.0, 40.0, 0.1).select("episode_index", "frame_index", "kind")
 
 
-@query(with_views("SELECT count(*) FILTER (value > 60) AS safety, count(*) FILTER (value <= 60) AS accepted FROM frames", "frames"))
+@query(with_views("SELECT episode_index, count(*) FILTER (value > 60) AS held, count(*) FILTER (value <= 60 AND value < 1) AS errors, count(*) FILTER (value BETWEEN 1 AND 60) AS accepted FROM frames GROUP BY 1", "frames"))
 def safety_rejection_count(spark: SparkSession, d: str) -> DataFrame:
-    return proxy.frames(spark, d).agg(F.count_if(F.col("value") > 60).alias("safety"), F.count_if(F.col("value") <= 60).alias("accepted"))
+    kind = F.when(F.col("value") > 60, "safety").when(F.col("value") < 1, "malformed")
+    return kernels.rejections(proxy.frames(spark, d).withColumn("reject_kind", kind), ["episode_index"])
 
 
 @query(with_views("SELECT episode_index, frame_index, round(avg(value) OVER w, 6) AS rolling_mean, max(value) OVER w AS rolling_max FROM frames WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)", "frames"))
@@ -255,8 +255,8 @@ def rolling_timing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
-SELECT label, dim, vec_id, row_number() OVER (PARTITION BY label, dim ORDER BY vec_id) - 1 AS frame_index, round(CAST(v AS DOUBLE), 6) AS value FROM x WHERE dim < 2""")
+SELECT label, dim, vec_id, row_number() OVER (PARTITION BY label, dim ORDER BY vec_id) - 1 AS frame_index, round(CAST(v AS DOUBLE), 6) AS value FROM x""")
 def series_long_form(spark: SparkSession, d: str) -> DataFrame:
-    e = proxy.table(spark, d, "embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 2)).alias("dim", "v"))
+    e = proxy.table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("dim", "v"))
     w = Window.partitionBy("label", "dim").orderBy("vec_id")
     return e.select("label", F.col("dim").cast("long").alias("dim"), "vec_id", (F.row_number().over(w) - 1).cast("long").alias("frame_index"), F.round(F.col("v").cast("double"), 6).alias("value"))

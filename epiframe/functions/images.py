@@ -50,10 +50,12 @@ def frame_metrics(frames: DataFrame, width: int = 32) -> DataFrame:
 
 
 def with_change(metrics: DataFrame) -> DataFrame:
-    """Mean absolute change of the thumbnail from the camera's frame before."""
+    """Mean absolute change of the thumbnail from the camera's frame before, and the share of it that changed."""
     before = F.lag("thumb").over(Window.partitionBy("episode_index", "camera_key").orderBy("frame_index"))
     step = F.aggregate(F.zip_with("thumb", "__before", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda n, x: n + x) / F.size("thumb")
-    return metrics.withColumn("__before", before).withColumn("change", F.when(F.col("__before").isNotNull(), step)).drop("__before", "thumb")
+    changed = F.size(F.filter(F.zip_with("thumb", "__before", lambda a, b: F.abs(a - b)), lambda x: x > 0)) / F.size("thumb")
+    seen = F.col("__before").isNotNull()
+    return metrics.withColumn("__before", before).withColumns({"change": F.when(seen, step), "changed_ratio": F.when(seen, changed)}).drop("__before", "thumb")
 
 
 def visual_flags(metrics: DataFrame, dark: float = 40.0, bright: float = 245.0, blur: float = 35.0, frozen: float = 0.75) -> DataFrame:

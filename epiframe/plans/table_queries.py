@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from epiframe import proxy
 from epiframe.functions import kernels as K
 from epiframe.operators import datasets as D
-from epiframe.operators import detectors, tables
+from epiframe.operators import detectors, tables, visual
 from epiframe.plans.registry import query
 from epiframe.proxy import FPS, table, with_views
 
@@ -149,3 +149,14 @@ def integrity_findings(spark: SparkSession, d: str) -> DataFrame:
     e = f.groupBy("episode_index").agg((F.count(F.lit(1)) + F.when(F.first("episode_index") % 5 == 0, 40).otherwise(0)).alias("length"))
     x = f.where("episode_index % 11 <> 0").withColumn("value", F.when(F.col("id") % 97 == 0, float("nan")).otherwise(F.col("value")))
     return detectors.integrity(x, e, FPS).select("episode_index", "issue_code")
+
+
+@query(with_views("""m AS (SELECT episode_index, frame_index, x.c AS code FROM (SELECT episode_index, frame_index, unnest([{'c': 'visual/dark', 'f': value * 2 < 40}, {'c': 'visual/overexposed', 'f': value * 2 > 245}, {'c': 'visual/blur', 'f': k < 35}]) AS x FROM frames) WHERE x.f),
+g AS (SELECT *, frame_index - row_number() OVER (PARTITION BY episode_index, code ORDER BY frame_index) AS g FROM m),
+r AS (SELECT episode_index, code, min(frame_index) AS a, max(frame_index) + 1 AS b FROM g GROUP BY episode_index, code, g HAVING count(*) >= 5),
+o AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY episode_index, code ORDER BY a) > 2 THEN 1 ELSE 0 END AS o FROM r), u AS (SELECT *, sum(o) OVER (PARTITION BY episode_index, code ORDER BY a) AS u FROM o), n AS (SELECT episode_index, count(*) / 10.0 AS duration FROM frames GROUP BY 1)
+SELECT u.episode_index, code AS issue_code, round(greatest(0.0, min(a) / 10.0 - 0.1), 6) AS start_s, round(least(min(duration), max(b) / 10.0 + 0.1), 6) AS end_s FROM u JOIN n USING (episode_index) GROUP BY u.episode_index, code, u""", "frames"))
+def visual_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Exposure and blur findings of one camera, whose luma and sharpness the messages' numbers stand for."""
+    m = proxy.frames(spark, d).select("episode_index", F.lit("c").alias("camera_key"), "frame_index", (F.col("value") * 2).alias("mean_luma"), F.col("k").alias("blur"))
+    return visual.exposure_findings(m, FPS).select("episode_index", "issue_code", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))

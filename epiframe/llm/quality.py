@@ -160,8 +160,9 @@ def precise(own: DataFrame) -> DataFrame:
 def own_moments(sums: DataFrame, factor: float) -> DataFrame:
     """Centre m and scatter c, packed, of (n, s_i, s_ij) rows; ``factor`` makes the scatter of a trimmed share
     consistent."""
-    mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
-    return sums.select(*KEY, "n", F.array(*mean).alias("m"), F.array(*[factor * (F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in PAIRS]).alias("c"))
+    n = F.greatest(F.col("n"), F.lit(1))
+    mean = [F.col(f"s{i}") / n for i in range(D)]
+    return sums.select(*KEY, "n", F.array(*mean).alias("m"), F.array(*[factor * (F.col(f"s{i}{j}") / n - mean[i] * mean[j]) for i, j in PAIRS]).alias("c"))
 
 
 def drawn(own: DataFrame) -> DataFrame:
@@ -190,8 +191,9 @@ def near_sums(v: DataFrame, params: DataFrame, share: float | None) -> DataFrame
     group = Window.partitionBy(*KEY)
     before = F.coalesce(F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.col("cell") <= round(CELLS * math.log1p(chi2_point(0.975, D))) if share is None else F.col("__before") < share * F.col("__all")
-    kept = cells.withColumns({"__all": F.sum("n").over(group), "__before": before}).withColumn("__in", inside & (F.col("__all") > 0)).where("__in")
-    return kept.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in names])
+    marked = cells.withColumns({"__all": F.sum("n").over(group), "__before": before}).withColumn("__in", inside & (F.col("__all") > 0))
+    # a group without a vector that is near enough stays, with none of its own
+    return marked.groupBy(*KEY).agg(*[F.coalesce(F.sum(F.when(F.col("__in"), F.col(c))), F.lit(0).cast("long")).alias(c) for c in names])
 
 
 def estimates(stats: DataFrame) -> DataFrame:

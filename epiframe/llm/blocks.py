@@ -37,9 +37,22 @@ def sections(docs: DataFrame) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SECTION_BYTES))
 
 
-def place_of(number: int, n: int) -> int:
-    """Where a block's payload goes: by a digest of its number, since numbers of first blocks are multiples of 2^32."""
-    return xxhash.xxh64_intdigest(number.to_bytes(8, "little")) % n
+#: Bytes of a payload that travel together.
+PIECE = 1 << 16
+
+
+def payload_rows(number: int, n: int, data: bytes) -> list[tuple]:
+    """A block's payload in pieces, numbered as sections, each at a place by a digest of block and piece: numbers of
+    first blocks are multiples of 2^32, and whole payloads are many times the words of a section."""
+    place = lambda i: xxhash.xxh64_intdigest(number.to_bytes(8, "little"), i) % n
+    return [(place(i), number, PAYLOAD, i, data[i * PIECE : (i + 1) * PIECE]) for i in range(-(-len(data) // PIECE))]
+
+
+def split_payload(rows: list[tuple]) -> tuple[bytes, list[tuple]]:
+    """The payload of a block's rows, put together, and its other rows by kind and section."""
+    rows = sorted(rows, key=lambda r: (r[2], r[3]))
+    n = sum(r[2] == PAYLOAD for r in rows)
+    return b"".join(r[4] for r in rows[:n]), rows[n:]
 
 
 def squeeze(*parts: bytes) -> bytes:

@@ -115,7 +115,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             words = [w.encode() for w in words]
             section = B.by_section(words, n, xxhash.xxh64_intdigest)
             order = B.in_order(section)
-            yield _packed([(B.place_of(number, n), number, B.PAYLOAD, -1, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section)))])
+            yield _packed(B.payload_rows(number, n, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section))))
             for s, at, end in B.runs(section):
                 yield _packed([(s, number, B.WORDS, s, B.squeeze(*B.pack_words([words[i] for i in order[at:end].tolist()])))])
 
@@ -136,12 +136,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             yield _packed([(place, number, B.REPLY, section, B.squeeze(B.planes(np.fromiter(map(len, ids), "<u4", len(ids))), B.planes(flat)))])
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(_rows(batches), key=lambda r: (r[2], r[3]))
-        *head, first, two, four, section = B.unsqueeze(rows[0][4])
+        payload, rows = B.split_payload(list(_rows(batches)))
+        *head, first, two, four, section = B.unsqueeze(payload)
         doc_ids, lengths = B.unpack_ids(*head)
         codes, order = B.unpack_codes(first, two, four), B.in_order(B.unplanes(section, "<u4"))
-        replies = [B.unsqueeze(r[4]) for r in rows[1:]]
-        del rows
+        replies = [B.unsqueeze(r[4]) for r in rows]
+        del rows, payload
         sizes = np.concatenate([np.zeros(0, np.int64)] + [B.unplanes(a, "<u4").astype(np.int64) for a, _ in replies])
         flat = np.concatenate([np.zeros(0, np.int32)] + [B.unplanes(b, "<u4").astype(np.int32) for _, b in replies])
         size, start = np.empty_like(sizes), np.empty_like(sizes)

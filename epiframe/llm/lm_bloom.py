@@ -143,7 +143,7 @@ def _cut(n: int):
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             section = (hashes % np.uint64(n)).astype(np.uint32)
             order = B.in_order(section)
-            yield _packed([(B.place_of(number, n), number, B.PAYLOAD, -1, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section), np.array([words.index(END)], "<i8").tobytes()))])
+            yield _packed(B.payload_rows(number, n, B.squeeze(*B.pack_ids(block.ids, block.lengths), *B.pack_codes(codes), B.planes(section), np.array([words.index(END)], "<i8").tobytes())))
             train = np.repeat([not held_out(i) for i in block.ids], block.lengths)
             counts = np.bincount(codes[train], minlength=len(words)).astype("<u4")
             for s, at, end in B.runs(section):
@@ -215,8 +215,8 @@ def score(docs: DataFrame, weight: float = WEIGHT) -> DataFrame:
     false_rate = (on / max(bits, 1)) ** PROBES
 
     def work(t: pa.Table) -> pa.Table:
-        got = sorted(_rows(t.to_batches()), key=lambda r: (r[2], r[3]))
-        ids, none, lengths, first, two, four, section, end = B.unsqueeze(got[0][4])
+        payload, got = B.split_payload(list(_rows(t.to_batches())))
+        ids, none, lengths, first, two, four, section, end = B.unsqueeze(payload)
         ids, lengths = B.unpack_ids(ids, none, lengths)
         codes, order = B.unpack_codes(first, two, four).astype(np.int64), B.in_order(B.unplanes(section, "<u4"))
         replies = [B.unsqueeze(r[4]) for r in got if r[2] == B.REPLY]

@@ -230,8 +230,9 @@ def _judge(docs: DataFrame, own: list[str]) -> DataFrame:
     src = docs.select(*[F.col(c).alias(f"__own_{c}") for c in own], F.col("text"))
     stats = base_counts(src).select(*[F.col(f"__own_{c}").alias(f"__own_{c}") for c in own], *counts, base_failed().alias("base_failed"))
     stats = materialize(stats.withColumns({"lang": F.col("__own_lang").cast("string"), "source": F.col("__own_source").cast("string")}), "quality-stats")
+    params = materialize(estimates(stats), "quality-params")  # written, so that its size is known to the join
     xs = vector()
-    out = null_safe_join(stats.withColumns({f"x{i}": x for i, x in enumerate(xs)}), estimates(stats), ["lang", "source"])
+    out = null_safe_join(stats.withColumns({f"x{i}": x for i, x in enumerate(xs)}), params, ["lang", "source"])
     d2 = F.when(~F.col("base_failed"), distance())
     out = out.withColumn("d2", d2).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
     return out.select(*[f"__own_{c}" for c in own], *counts, "base_failed", "d2", "kept")

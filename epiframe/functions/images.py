@@ -8,10 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epiframe.operators.tables import numbered
+
 METRICS = "episode_index long, camera_key string, frame_index long, mean_luma double, p10 double, p50 double, p90 double, blur double, thumb array<float>"
 
 
@@ -61,3 +64,23 @@ def with_change(metrics: DataFrame) -> DataFrame:
 def visual_flags(metrics: DataFrame, dark: float = 40.0, bright: float = 245.0, blur: float = 35.0, frozen: float = 0.75) -> DataFrame:
     """Per frame: dark, overexposed, blurred, and frozen (no change to speak of)."""
     return with_change(metrics).withColumns({"dark": F.col("mean_luma") < dark, "overexposed": F.col("mean_luma") > bright, "blurred": F.col("blur") < blur, "frozen": F.coalesce(F.col("change") <= frozen, F.lit(False))})
+
+
+def image_folder(spark: SparkSession, path: str, camera: str, episode: int = 0) -> DataFrame:
+    """Frames of a folder of pictures, in the order of their names, as rows for ``frame_metrics``; pictures that cannot be
+    read are left out. Spark's image source decodes them."""
+    d = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+
+    @F.pandas_udf("binary")
+    def to_rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
+        """Spark's images are grey, BGR or BGRA, row by row."""
+
+        def one(b: bytes, n: int) -> bytes:
+            x = np.frombuffer(b, np.uint8).reshape(-1, n)
+            return np.repeat(x, 3, 1).tobytes() if n == 1 else np.hstack([x[:, 2::-1], x[:, 3:]]).tobytes()
+
+        return pd.Series([one(b, n) for b, n in zip(data, channels, strict=True)], dtype=object)
+
+    numbered_frames = numbered(d, F.regexp_replace("origin", "[^/]*$", ""), ["origin"], "frame_index")
+    grey = F.col("nChannels") == 1
+    return numbered_frames.select(F.lit(episode).cast("long").alias("episode_index"), F.lit(camera).alias("camera_key"), "frame_index", "height", "width", F.when(grey, 3).otherwise(F.col("nChannels")).alias("channels"), to_rgb(F.col("data"), F.col("nChannels")).alias("pixels"))

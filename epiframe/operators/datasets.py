@@ -97,3 +97,11 @@ def is_joint_topic(topic: Column, schema: Column) -> Column:
     for word in JOINT_WORDS:
         out = out | t.contains(word)
     return out
+
+
+def anchor_topics(summary: DataFrame) -> DataFrame:
+    """(file, topic) of the topic that a log's episodes are split by: the joint topic with most messages, else the image
+    topic, else any; ties go to the smaller name. ``summary``: file, topic, schema_name, messages."""
+    t, n = F.col("topic"), F.col("schema_name")
+    rank = F.when(is_joint_topic(t, n), 0).when(is_image_topic(t, n), 1).otherwise(2)
+    return summary.groupBy("file").agg(F.min_by("topic", F.struct(rank.alias("r"), (-F.col("messages")).alias("n"), "topic")).alias("topic"))

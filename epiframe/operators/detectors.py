@@ -65,6 +65,36 @@ def integrity(frames: DataFrame, episodes: DataFrame, fps: float, value: str = "
     return out.unionByName(_findings(e.where("expected > 0").where(off), "integrity/signal_length_mismatch", "fatal", 1.0, True))
 
 
+def signal_integrity(signals: DataFrame, episodes: DataFrame, fps: float, required: tuple[str, ...] = ("action",), tolerance: int = 2, ratio: float = 0.1) -> DataFrame:
+    """Findings on whole vector signals, with their ``signal_key``: missing, ragged, without dimensions, not finite, and of
+    another length than the episode or than one another. A ragged signal is looked at no further, one without dimensions
+    only as to the others' lengths. ``signals``: episode_index, signal_key, frame_index, value (array of double; null
+    values and null elements are not finite)."""
+    finite = F.coalesce(F.forall("value", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    at = F.when(~finite, F.col("frame_index"))
+    s = signals.groupBy("episode_index", "signal_key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("a"), F.max(at).alias("b"), F.min(F.size("value")).alias("narrow"), F.max(F.size("value")).alias("wide")
+    )
+    e = episodes.select("episode_index", F.col("length").alias("expected"))
+    wanted = e.select("episode_index", F.explode(F.array(*[F.lit(k) for k in required]).cast("array<string>")).alias("signal_key"))
+    missing = wanted.join(s, ["episode_index", "signal_key"], "left_anti").withColumn("code", F.concat(F.lit("integrity/missing_"), F.element_at(F.split("signal_key", "[.]"), -1)))
+    near = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(tolerance).cast("long"), F.rint(F.greatest(a, b) * ratio).cast("long"))
+    expected_near = F.abs(F.col("n") - F.col("expected")) <= F.greatest(F.lit(tolerance).cast("long"), F.rint(F.col("expected") * ratio).cast("long"))
+    ragged, flat = F.col("narrow") != F.col("wide"), F.col("wide") <= 0
+    code = lambda c, name: F.when(c, F.lit(f"integrity/{name}"))
+    codes = F.array(
+        code(ragged, "invalid_signal_shape"), code(~ragged & flat, "empty_signal"), code(~ragged & ~flat & F.col("a").isNotNull(), "non_finite_signal"),
+        code(~ragged & ~flat & (F.col("expected") > 0) & ~expected_near, "signal_length_mismatch"),
+    )
+    own = s.join(e, "episode_index").withColumn("code", F.explode(F.filter(codes, lambda c: c.isNotNull())))
+    timed = F.col("code") == "integrity/non_finite_signal"
+    own = own.withColumn("start_s", F.when(timed, F.col("a") / fps)).withColumn("end_s", F.when(timed, F.least(F.col("n") / fps, (F.col("b") + 1) / fps)))
+    lengths = s.where(~ragged).join(e, "episode_index", "left_semi").groupBy("episode_index").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    apart = lengths.where(~near(F.col("most"), F.col("least"))).select("episode_index", F.lit(None).cast("string").alias("signal_key"), F.lit("integrity/action_state_length_mismatch").alias("code"))
+    found = own.select("episode_index", "signal_key", "code", "start_s", "end_s").unionByName(missing.select("episode_index", "signal_key", "code").unionByName(apart), allowMissingColumns=True)
+    return found.select("episode_index", F.col("code").alias("issue_code"), F.lit("fatal").alias("severity"), F.lit(1.0).alias("confidence"), "start_s", "end_s", F.lit(True).alias("hard_invalid"), "signal_key")
+
+
 #: Detectors by name; others can be added, as functions of (frames, episodes, fps) to findings.
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame, float], DataFrame]] = {
     "signal_integrity": integrity,

@@ -6,7 +6,7 @@ frame before ``change`` (mean absolute) and ``changed_ratio``; both are null for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.operators import intervals as I
@@ -14,6 +14,8 @@ from epiframe.operators import intervals as I
 #: Fixed values of the checks.
 DARK, BRIGHT, BLUR, ISSUE_SECONDS, ISSUE_GAP = 40.0, 245.0, 35.0, 0.5, 0.25
 FREEZE_DELTA, FREEZE_CHANGED, FREEZE_SECONDS, FREEZE_GAP, FREEZE_MOTION, FREEZE_HARD = 0.75, 0.01, 2.0, 0.1, 0.02, 0.5
+SHAKE_CHANGE, SHAKE_CHANGES, SHAKE_GAP = 4.0, 2, 0.2
+STATIC_WORDS, MOVING_WORDS = ("base", "head", "main", "front", "overhead"), ("wrist", "hand", "eef")
 CONTEXT = 0.1
 CAMERA = ("episode_index", "camera_key")
 
@@ -86,3 +88,36 @@ def luma_summary(metrics: DataFrame, low: float = 5.0, high: float = 250.0) -> D
     clip = lambda c: F.count_if(c) / F.count(F.lit(1))
     cameras = metrics.groupBy("episode_index", "camera_key").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("p10", "p50", "p90")], clip(F.col("mean_luma") <= low).alias("dark_ratio"), clip(F.col("mean_luma") >= high).alias("bright_ratio"))
     return cameras.groupBy("episode_index").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("p10", "p50", "p90")], F.max("dark_ratio").alias("dark_ratio"), F.max("bright_ratio").alias("bright_ratio"))
+
+
+def is_static_camera(key: Column, configured: tuple[str, ...] = ()) -> Column:
+    """Cameras that stand still: those that are named, where any are, else by words in the key, in any case."""
+    if configured:
+        return key.isin(*configured)
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower(key).contains(w))
+    return has(STATIC_WORDS) & ~has(MOVING_WORDS)
+
+
+def motion_changes(samples: DataFrame) -> DataFrame:
+    """Adds ``change``: the distance of the vector ``motion`` (from the sampled frame before) from that of the frame
+    before; null unless both are there and finite."""
+    d = samples.withColumn("__ok", F.coalesce((F.size("motion") > 0) & F.forall("motion", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
+    w = Window.partitionBy(*CAMERA).orderBy("frame_index")
+    squares = F.aggregate(F.zip_with("motion", F.lag("motion").over(w), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda n, x: n + x)
+    return d.withColumn("change", F.when(F.col("__ok") & F.lag("__ok", 1, False).over(w), F.sqrt(squares)))
+
+
+def shake_findings(samples: DataFrame, fps: float) -> DataFrame:
+    """Spans in which a standing camera shakes, with the camera's largest change and figures of its reliable pairs:
+    episode_index, camera_key, issue_code, start_s, end_s, change_max, inlier_median, coverage_median, tracked_min.
+
+    ``samples``, one row a sampled frame: episode_index, camera_key, frame_index (of the sample), motion (array of double,
+    null for the first frame and where it could not be estimated), inlier_ratio, spatial_coverage, tracked_points."""
+    d = motion_changes(samples.where(is_static_camera(F.col("camera_key")))).withColumn("__m", F.coalesce(F.col("change") > SHAKE_CHANGE, F.lit(False))).withColumn("camera", F.struct(*CAMERA))
+    median = lambda c: F.coalesce(F.percentile(F.when(F.col("__ok"), F.col(c)), F.lit(0.5)), F.lit(0.0))
+    figures = d.groupBy(*CAMERA).agg(
+        F.coalesce(F.max("change"), F.lit(0.0)).alias("change_max"), median("inlier_ratio").alias("inlier_median"), median("spatial_coverage").alias("coverage_median"),
+        F.coalesce(F.min(F.when(F.col("__ok"), F.col("tracked_points"))), F.lit(0)).alias("tracked_min"),
+    )
+    spans = _keyed(I.mask_to_intervals(d, "__m", fps, SHAKE_CHANGES / fps, SHAKE_GAP, CONTEXT, key="camera"))
+    return spans.join(figures, list(CAMERA)).select(*CAMERA, F.lit("visual/camera_shake").alias("issue_code"), "start_s", "end_s", "change_max", "inlier_median", "coverage_median", "tracked_min")

@@ -1,30 +1,56 @@
-"""Indexed message logs ("MCAP" containers) as a Python data source.
+"""Indexed message logs ("MCAP" containers) as Python data sources.
 
-A file is one input partition. The options ``topics`` (comma-separated), ``since`` and ``until`` (log times) keep
-other records from being decoded. They are options and not pushed filters, because Spark 4.1 keeps the filters that
-a Python reader has taken for later queries of the same DataFrame. The container is a magic number, then records
-of an opcode byte, a 64-bit length and a body; chunks hold further records, plain or compressed.
+A file is split at its chunk index, so that a partition reads about ``splitBytes`` of it; a file without an index is one
+partition. Records are read one after another, never a whole file. The options ``topics`` (comma-separated), ``since``
+and ``until`` (log times) keep other records from being decoded. They are options and not pushed filters, because Spark
+4.1 keeps the filters that a Python reader has taken for later queries of the same DataFrame. The container is a magic
+number, then records of an opcode byte, a 64-bit length and a body; chunks hold further records, plain or compressed,
+and the summary before the footer repeats schemas and channels and tells counts and chunks.
 
     spark.dataSource.register(MessageLogSource)
     spark.read.format("message_log").option("topics", "/a").load(path)
+    spark.dataSource.register(MessageLogSummarySource)
+    spark.read.format("message_log_summary").load(path)
 """
 
 from __future__ import annotations
 
 import glob
-import os
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Fixed values of the container format.
 MAGIC = b"\x89MCAP0\r\n"
-HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, DATA_END = 0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0F
+HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, CHUNK_INDEX, STATISTICS, DATA_END = 0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x08, 0x0B, 0x0F
+#: The footer's record and the closing magic number.
+TAIL = 9 + 20 + len(MAGIC)
 
 COLUMNS = "file string, topic string, schema_name string, schema_encoding string, message_encoding string, sequence long, log_time long, publish_time long, data binary"
+SUMMARY = "file string, topic string, schema_name string, message_encoding string, messages long, start_time long, end_time long, indexed boolean"
+
+SPLIT_BYTES = 64 << 20
+CHUNK_BYTES = 4 << 20
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def log_files(path: str) -> list[str]:
+    """Logs at a path: a file, a pattern of local files, or a folder at any depth; sorted."""
+    system, own = _system(path)
+    prefix = path[: len(path) - len(own)] if path.endswith(own) else ""
+    kind = system.get_file_info(own).type
+    if kind == fs.FileType.Directory:
+        return sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(own, recursive=True)) if f.is_file and f.path.endswith(".mcap"))
+    return [path] if kind == fs.FileType.File else sorted(glob.glob(own))
 
 
 def _string(b: bytes, at: int) -> tuple[str, int]:
@@ -41,85 +67,268 @@ def _records(b: bytes, at: int = 0) -> Iterator[tuple[int, bytes]]:
         at += 9 + n
 
 
+def _read_records(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """Records that start within the range, one in memory at a time."""
+    at = start
+    while at < end and at + 9 <= size:
+        f.seek(at)
+        op, n = struct.unpack("<BQ", f.read(9))
+        if at + 9 + n > size:
+            return  # a file that was cut off
+        yield op, f.read(n)
+        at += 9 + n
+
+
 def _inflate(kind: str, body: bytes, size: int) -> bytes:
     if not kind:
         return body
     return pa.Codec({"lz4": "lz4", "zstd": "zstd"}[kind]).decompress(body, decompressed_size=size).to_pybytes()
 
 
-def messages(path: str, topics: frozenset[str] | None = None, since: int | None = None, until: int | None = None) -> Iterator[tuple]:
-    """Rows of COLUMNS, in the order of the file; chunks out of the time window are not inflated."""
-    with open(path, "rb") as f:
-        data = f.read()
-    if not data.startswith(MAGIC):
+@dataclass
+class Summary:
+    """What a file's summary tells. ``whole``: it names all channels and chunks, so that parts can be read alone."""
+
+    schemas: dict[int, tuple[str, str]] = field(default_factory=dict)
+    channels: dict[int, tuple[int, str, str]] = field(default_factory=dict)
+    chunks: list[tuple[int, int]] = field(default_factory=list)
+    counts: dict[int, int] | None = None
+    start: int | None = None
+    end: int | None = None
+    whole: bool = False
+
+    def define(self, op: int, b: bytes) -> None:
+        if op == SCHEMA:
+            name, at = _string(b, 2)
+            self.schemas[struct.unpack_from("<H", b)[0]] = (name, _string(b, at)[0])
+        elif op == CHANNEL:
+            number, schema = struct.unpack_from("<HH", b)
+            topic, at = _string(b, 4)
+            self.channels[number] = (schema, topic, _string(b, at)[0])
+
+
+def read_summary(f, size: int) -> Summary:
+    """The summary by way of the footer; an empty one where the file has none or was cut off."""
+    s = Summary()
+    if size < len(MAGIC) + TAIL:
+        return s
+    f.seek(size - TAIL)
+    tail = f.read(TAIL)
+    op, n, start, _, _ = struct.unpack_from("<BQQQI", tail)
+    if not tail.endswith(MAGIC) or (op, n) != (FOOTER, 20) or not 0 < start < size - TAIL:
+        return s
+    told = None
+    f.seek(start)
+    for op, b in _records(f.read(size - TAIL - start)):
+        s.define(op, b)
+        if op == CHUNK_INDEX:
+            _, _, at, length = struct.unpack_from("<QQQQ", b)
+            s.chunks.append((at, length))
+        elif op == STATISTICS:
+            n, _, n_channels, _, _, n_chunks, s.start, s.end, n_bytes = struct.unpack_from("<QHIIIIQQI", b)
+            s.counts = dict(struct.iter_unpack("<HQ", b[46 : 46 + n_bytes]))
+            told = n_channels, n_chunks
+            if sum(s.counts.values()) != n:
+                s.counts = None
+    s.chunks.sort()
+    s.whole = told == (len(s.channels), len(s.chunks))
+    return s
+
+
+def _open(path: str):
+    system, own = _system(path)
+    f = system.open_input_file(own)
+    if f.read(len(MAGIC)) != MAGIC:
+        f.close()
         raise ValueError(f"{path} is no message log")
-    schemas: dict[int, tuple[str, str]] = {}
-    channels: dict[int, tuple[int, str, str]] = {}
-
-    def walk(records: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
-        for op, b in records:
-            if op == SCHEMA:
-                name, at = _string(b, 2)
-                schemas[struct.unpack_from("<H", b)[0]] = (name, _string(b, at)[0])
-            elif op == CHANNEL:
-                number, schema = struct.unpack_from("<HH", b)
-                topic, at = _string(b, 4)
-                channels[number] = (schema, topic, _string(b, at)[0])
-            elif op == MESSAGE:
-                number, sequence, log, publish = struct.unpack_from("<HIQQ", b)
-                schema, topic, encoding = channels.get(number, (0, "", ""))
-                if (topics is None or topic in topics) and (since is None or log >= since) and (until is None or log <= until):
-                    name, kind = schemas.get(schema, (None, None))
-                    yield path, topic, name, kind, encoding, sequence, log, publish, b[22:]
-            elif op == CHUNK:
-                first, last, size, _ = struct.unpack_from("<QQQI", b)
-                if (since is None or last >= since) and (until is None or first <= until):
-                    kind, at = _string(b, 28)
-                    n = struct.unpack_from("<Q", b, at)[0]
-                    yield from walk(_records(_inflate(kind, b[at + 8 : at + 8 + n], size)))
-                # a skipped chunk may define channels that later ones repeat, as writers must
-            elif op in (DATA_END, FOOTER):
-                return
-
-    yield from walk(_records(data, len(MAGIC)))
-
-
-def write_log(path: str, rows: list[tuple[str, str, int, bytes]]) -> None:
-    """A log of (topic, schema name, log_time, data) rows, uncompressed, in order of time."""
-    text = lambda s: struct.pack("<I", len(s.encode())) + s.encode()
-    record = lambda op, body: struct.pack("<BQ", op, len(body)) + body
-    out = [MAGIC, record(HEADER, text("") + text("epiframe"))]
-    known: dict[tuple[str, str], int] = {}
-    for i, (topic, schema, at, data) in enumerate(sorted(rows, key=lambda r: r[2])):
-        if (topic, schema) not in known:
-            n = known[topic, schema] = len(known) + 1
-            out.append(record(SCHEMA, struct.pack("<H", n) + text(schema) + text("raw") + struct.pack("<I", 0)))
-            out.append(record(CHANNEL, struct.pack("<HH", n, n) + text(topic) + text("raw") + struct.pack("<I", 0)))
-        out.append(record(MESSAGE, struct.pack("<HIQQ", known[topic, schema], i, at, at) + data))
-    out += [record(DATA_END, struct.pack("<I", 0)), record(FOOTER, struct.pack("<QQI", 0, 0, 0)), MAGIC]
-    temporary = f"{path}.tmp"
-    with open(temporary, "wb") as f:
-        f.write(b"".join(out))
-    os.replace(temporary, path)
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    return f, f.size()
+
+
+def splits(path: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[int, int]]:
+    """Byte ranges of a file that can be read alone; they start at chunks and leave nothing out between them."""
+    f, size = _open(path)
+    with f:
+        s = read_summary(f, size)
+    cuts = [len(MAGIC)]
+    for at, _ in s.chunks if s.whole else ():
+        if at - cuts[-1] >= split_bytes:
+            cuts.append(at)
+    return list(zip(cuts, [*cuts[1:], size], strict=True))
+
+
+def messages(path: str, topics: frozenset[str] | None = None, since: int | None = None, until: int | None = None, span: tuple[int, int] | None = None) -> Iterator[tuple]:
+    """Rows of COLUMNS in the order of the file, of the whole of it or of one of its ``splits``. Chunks out of the time
+    window are not inflated where the summary names all channels; else they may define what later ones use."""
+    f, size = _open(path)
+    with f:
+        known = read_summary(f, size)
+
+        def walk(records: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
+            for op, b in records:
+                if op in (SCHEMA, CHANNEL):
+                    known.define(op, b)
+                elif op == MESSAGE:
+                    number, sequence, log, publish = struct.unpack_from("<HIQQ", b)
+                    schema, topic, encoding = known.channels.get(number, (0, "", ""))
+                    if (topics is None or topic in topics) and (since is None or log >= since) and (until is None or log <= until):
+                        name, kind = known.schemas.get(schema, (None, None))
+                        yield path, topic, name, kind, encoding, sequence, log, publish, b[22:]
+                elif op == CHUNK:
+                    first, last, n_plain, _ = struct.unpack_from("<QQQI", b)
+                    if not known.whole or ((since is None or last >= since) and (until is None or first <= until)):
+                        kind, at = _string(b, 28)
+                        n = struct.unpack_from("<Q", b, at)[0]
+                        yield from walk(_records(_inflate(kind, b[at + 8 : at + 8 + n], n_plain)))
+                elif op in (DATA_END, FOOTER):
+                    return
+
+        yield from walk(_read_records(f, size, *(span or (len(MAGIC), size))))
+
+
+def summary_rows(path: str) -> Iterator[tuple]:
+    """Rows of SUMMARY, one a topic: from the footer, or from all messages where the summary tells no counts. Times are
+    the file's. Channels of one topic add up; a topic without messages counts 0."""
+    f, size = _open(path)
+    with f:
+        s = read_summary(f, size)
+    if s.counts is not None and s.channels:
+        n, about = Counter(), {}
+        for number, (schema, topic, encoding) in sorted(s.channels.items()):
+            n[topic] += s.counts.get(number, 0)
+            about.setdefault(topic, (s.schemas.get(schema, (None, None))[0], encoding))
+        start, end, indexed = (s.start, s.end, True) if sum(n.values()) else (None, None, True)
+    else:
+        n, about, start, end, indexed = Counter(), {}, None, None, False
+        for _, topic, schema, _, encoding, _, at, _, _ in messages(path):
+            n[topic] += 1
+            about.setdefault(topic, (schema, encoding))
+            start, end = (at, at) if start is None else (min(start, at), max(end, at))
+    for topic, (schema, encoding) in about.items():
+        yield path, topic, schema, encoding, n[topic], start, end, indexed
+
+
+class LogWriter:
+    """Writes a log chunk by chunk, with a summary; a channel is a topic with its schema and encodings. The file appears
+    under its name when it is complete."""
+
+    def __init__(self, path: str, compression: str = "zstd", chunk_bytes: int = CHUNK_BYTES):
+        self.system, self.own = _system(path)
+        self.compression, self.chunk_bytes, self.at = compression, chunk_bytes, 0
+        self.schemas: dict[tuple[str, str], int] = {}
+        self.channels: dict[tuple, int] = {}
+        self.counts: Counter = Counter()
+        self.defined: list[bytes] = []
+        self.index: list[bytes] = []
+        self.chunk: list[bytes] = []
+        self.size, self.first, self.last, self.start, self.end = 0, None, None, None, None
+        self.out = self.system.open_output_stream(self.own + ".tmp")
+        self._put(MAGIC + self._record(HEADER, self._text("") + self._text("epiframe")))
+
+    @staticmethod
+    def _text(s: str) -> bytes:
+        return struct.pack("<I", len(s.encode())) + s.encode()
+
+    @staticmethod
+    def _record(op: int, body: bytes) -> bytes:
+        return struct.pack("<BQ", op, len(body)) + body
+
+    def _put(self, b: bytes) -> None:
+        self.out.write(b)
+        self.at += len(b)
+
+    def _hold(self, record: bytes) -> None:
+        self.chunk.append(record)
+        self.size += len(record)
+
+    def _define(self, record: bytes) -> None:
+        self.defined.append(record)
+        self._hold(record)
+
+    def add(self, topic: str, schema: str, at: int, data: bytes, schema_encoding: str = "raw", message_encoding: str = "raw", publish: int | None = None) -> None:
+        kind, key = (schema, schema_encoding), (topic, schema, schema_encoding, message_encoding)
+        if kind not in self.schemas:
+            n = self.schemas[kind] = len(self.schemas) + 1
+            self._define(self._record(SCHEMA, struct.pack("<H", n) + self._text(schema) + self._text(schema_encoding) + struct.pack("<I", 0)))
+        if key not in self.channels:
+            n = self.channels[key] = len(self.channels) + 1
+            self._define(self._record(CHANNEL, struct.pack("<HH", n, self.schemas[kind]) + self._text(topic) + self._text(message_encoding) + struct.pack("<I", 0)))
+        number = self.channels[key]
+        self._hold(self._record(MESSAGE, struct.pack("<HIQQ", number, self.counts[number] & 0xFFFFFFFF, at, at if publish is None else publish) + data))
+        self.counts[number] += 1
+        self.first, self.last = (at, at) if self.first is None else (min(self.first, at), max(self.last, at))
+        if self.size >= self.chunk_bytes:
+            self._flush()
+
+    def _flush(self) -> None:
+        if not self.chunk:
+            return
+        first, last = (self.first, self.last) if self.first is not None else (0, 0)
+        plain = b"".join(self.chunk)
+        body = pa.Codec(self.compression).compress(plain, asbytes=True) if self.compression else plain
+        record = self._record(CHUNK, struct.pack("<QQQI", first, last, len(plain), 0) + self._text(self.compression) + struct.pack("<Q", len(body)) + body)
+        self.index.append(self._record(CHUNK_INDEX, struct.pack("<QQQQIQ", first, last, self.at, len(record), 0, 0) + self._text(self.compression) + struct.pack("<QQ", len(body), len(plain))))
+        self._put(record)
+        self.start, self.end = (first, last) if self.start is None else (min(self.start, first), max(self.end, last))
+        self.chunk, self.size, self.first, self.last = [], 0, None, None
+
+    def close(self) -> None:
+        self._flush()
+        self._put(self._record(DATA_END, struct.pack("<I", 0)))
+        start, counts = self.at, b"".join(struct.pack("<HQ", *c) for c in sorted(self.counts.items()))
+        told = struct.pack("<QHIIIIQQI", sum(self.counts.values()), len(self.schemas), len(self.channels), 0, 0, len(self.index), self.start or 0, self.end or 0, len(counts))
+        self._put(b"".join([*self.defined, *self.index, self._record(STATISTICS, told + counts)]))
+        self._put(self._record(FOOTER, struct.pack("<QQI", start, 0, 0)) + MAGIC)
+        self.out.close()
+        self.system.move(self.own + ".tmp", self.own)
+
+    def abandon(self) -> None:
+        self.out.close()
+        self.system.delete_file(self.own + ".tmp")
+
+
+def write_log(path: str, rows: list[tuple[str, str, int, bytes]], compression: str = "zstd", chunk_bytes: int = CHUNK_BYTES) -> None:
+    """A log of (topic, schema name, log_time, data) rows, in order of time."""
+    log = LogWriter(path, compression, chunk_bytes)
+    for topic, schema, at, data in sorted(rows, key=lambda r: r[2]):
+        log.add(topic, schema, at, data)
+    log.close()
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, span: tuple[int, int]):
+        self.path, self.span = path, span
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, options):
-        self.files = sorted(glob.glob(os.path.join(path, "**", "*.mcap"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
+        self.path = path
         topics, number = options.get("topics"), lambda k: int(options[k]) if k in options else None
         self.topics = frozenset(topics.split(",")) if topics else None
-        self.since, self.until = number("since"), number("until")
+        self.since, self.until, self.split_bytes = number("since"), number("until"), number("splitBytes") or SPLIT_BYTES
 
     def partitions(self):
-        return [_File(p) for p in self.files]
+        return [_Part(p, s) for p in log_files(self.path) for s in splits(p, self.split_bytes)]
 
     def read(self, partition):
-        yield from messages(partition.path, self.topics, self.since, self.until)
+        yield from messages(partition.path, self.topics, self.since, self.until, partition.span)
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class _SummaryReader(DataSourceReader):
+    def __init__(self, path: str, together: int):
+        self.path, self.together = path, together
+
+    def partitions(self):
+        files = log_files(self.path)
+        return [_Files(files[i : i + self.together]) for i in range(0, len(files), self.together)]
+
+    def read(self, partition):
+        for p in partition.paths:
+            yield from summary_rows(p)
 
 
 class _Written(WriterCommitMessage):
@@ -128,23 +337,33 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
-        os.makedirs(path, exist_ok=True)
+    def __init__(self, path: str, options):
+        self.path, self.compression = path, options.get("compression", "zstd")
+        system, own = _system(path)
+        system.create_dir(own, recursive=True)
 
     def write(self, rows):
-        """One file per task; rows need topic, schema_name, log_time and data."""
-        got = [(r.topic, r.schema_name or "", r.log_time, bytes(r.data)) for r in rows]
-        if not got:
-            return _Written([])
-        name = os.path.join(self.path, f"log-{uuid.uuid4().hex}.mcap")
-        write_log(name, got)
-        return _Written([name])
+        """One file per task, chunk by chunk; rows need topic, schema_name, log_time and data. Encodings and publish
+        times are kept where there are such columns."""
+        name, log = f"{self.path}/log-{uuid.uuid4().hex}.mcap", None
+        try:
+            for r in rows:
+                log = log or LogWriter(name, "" if self.compression == "none" else self.compression)
+                have = r.asDict()
+                log.add(r.topic, r.schema_name or "", r.log_time, bytes(r.data), have.get("schema_encoding") or "raw", have.get("message_encoding") or "raw", have.get("publish_time"))
+        except BaseException:
+            if log:
+                log.abandon()
+            raise
+        if log:
+            log.close()
+        return _Written([name] if log else [])
 
     def abort(self, messages):
         for m in messages:
             for name in m.files if m else []:
-                os.unlink(name)
+                system, own = _system(name)
+                system.delete_file(own)
 
 
 class MessageLogSource(DataSource):
@@ -159,4 +378,16 @@ class MessageLogSource(DataSource):
         return _Reader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], self.options)
+
+
+class MessageLogSummarySource(DataSource):
+    @classmethod
+    def name(cls):
+        return "message_log_summary"
+
+    def schema(self):
+        return SUMMARY
+
+    def reader(self, schema):
+        return _SummaryReader(self.options["path"], int(self.options.get("filesPerTask", "16")))

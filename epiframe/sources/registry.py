@@ -50,10 +50,14 @@ class MessageLogAdapter(Adapter):
         return spark.read.format("message_log").load(path)
 
     def episodes(self, spark, path):
+        """From the files' summaries, without their messages."""
         from pyspark.sql import functions as F
 
-        topics = self._messages(spark, path).groupBy("file", "topic").agg(F.count(F.lit(1)).alias("n"), F.min("log_time").alias("a"), F.max("log_time").alias("b"))
-        return topics.groupBy("file").agg(F.max("n").alias("length"), ((F.max("b") - F.min("a")) / 1e9).alias("duration"))
+        from epiframe.sources.message_log import MessageLogSummarySource
+
+        spark.dataSource.register(MessageLogSummarySource)
+        topics = spark.read.format("message_log_summary").load(path)
+        return topics.groupBy("file").agg(F.max("messages").alias("length"), ((F.max("end_time") - F.min("start_time")) / 1e9).alias("duration"))
 
     def frames(self, spark, path, episode_indices=None, keys=None):
         from pyspark.sql import functions as F

@@ -158,3 +158,81 @@ def test_report_tables(spark, tmp_path):
     p = spark.createDataFrame([("p1", "completed", "k"), ("p2", "running", "k")], "preview_id string, status string, fingerprint string")
     want = spark.createDataFrame([("p1", "k"), ("p1", "z"), ("p2", "k")], "preview_id string, fingerprint string")
     assert report.preview_gate(want, p).count() == 1 and report.missing_previews(p, want.where("preview_id = 'p2'")).count() == 1
+
+
+def test_logs_split_at_chunks(spark, tmp_path):
+    from epiframe.sources import message_log as M
+    from epiframe.sources import registry
+
+    rows = [(f"/t{i % 3}", "s", i * 10, bytes([i % 256]) * 50) for i in range(500)]
+    key = lambda m: (m[1], m[2], m[6], m[8])
+    for kind in ("zstd", "lz4", ""):
+        path = str(tmp_path / f"x{kind}.mcap")
+        write_log(path, rows, kind, 1000)
+        parts = M.splits(path, 3000)
+        assert len(parts) > 1 and [key(m) for p in parts for m in M.messages(path, span=p)] == rows
+        assert [m[6] for m in M.messages(path, frozenset({"/t1"}), 100, 200)] == [100, 130, 160, 190]
+        assert {(r[1], r[4], r[5], r[6], r[7]) for r in M.summary_rows(path)} == {("/t0", 167, 0, 4990, True), ("/t1", 167, 0, 4990, True), ("/t2", 166, 0, 4990, True)}
+    whole = open(path, "rb").read()
+    cut = str(tmp_path / "cut.mcap")
+    with open(cut, "wb") as f:
+        f.write(whole[:-60])
+    assert len(M.splits(cut, 3000)) == 1 and [key(m) for m in M.messages(cut)] == rows and not any(r[7] for r in M.summary_rows(cut))
+    write_log(str(tmp_path / "none.mcap"), [])
+    assert list(M.summary_rows(str(tmp_path / "none.mcap"))) == [] == list(M.messages(str(tmp_path / "none.mcap")))
+    spark.dataSource.register(MessageLogSource)
+    spark.dataSource.register(M.MessageLogSummarySource)
+    d = spark.read.format("message_log").option("splitBytes", 3000).load(path)
+    assert d.rdd.getNumPartitions() == len(parts) and d.count() == 500
+    d.where("topic = '/t1'").write.format("message_log").mode("append").option("path", str(tmp_path / "out")).save()
+    s = spark.read.format("message_log_summary").load(str(tmp_path / "out"))
+    assert s.groupBy("topic").agg(F.sum("messages").alias("n")).collect() == [("/t1", 167)]
+    t = spark.createDataFrame([("f", "/a", "x", 9), ("f", "/joint_states", "x", 2), ("g", "/b", "x", 4), ("g", "/c", "x", 4)], "file string, topic string, schema_name string, messages long")
+    assert {(r.file, r.topic) for r in D.anchor_topics(t).collect()} == {("f", "/joint_states"), ("g", "/b")}
+    assert [(r.length, r.duration) for r in registry.MessageLogAdapter().episodes(spark, path).collect()] == [(167, 4990 / 1e9)]
+
+
+def test_signal_integrity(spark):
+    from epiframe.operators import detectors
+
+    rows = lambda e, k, n, v: [(e, k, f, v(f)) for f in range(n)]
+    two = lambda f: [1.0, 2.0]
+    data = rows(0, "action", 60, two) + rows(0, "observation.state", 59, two)
+    data += rows(1, "action", 60, two) + rows(1, "observation.state", 40, two)
+    data += rows(2, "action", 60, lambda f: [1.0] * (1 + f % 2)) + rows(3, "action", 60, lambda f: [])
+    data += rows(4, "action", 60, lambda f: [1.0, float("nan") if f in (7, 9) else 0.0]) + rows(5, "observation.state", 60, two)
+    s = spark.createDataFrame(data, "episode_index long, signal_key string, frame_index long, value array<double>")
+    e = spark.createDataFrame([(i, 60) for i in range(6)], "episode_index long, length long")
+    got = {(r.episode_index, r.issue_code, r.signal_key, r.start_s, r.end_s) for r in detectors.signal_integrity(s, e, 10.0).collect()}
+    assert got == {
+        (1, "integrity/signal_length_mismatch", "observation.state", None, None), (1, "integrity/action_state_length_mismatch", None, None, None), (2, "integrity/invalid_signal_shape", "action", None, None),
+        (3, "integrity/empty_signal", "action", None, None), (4, "integrity/non_finite_signal", "action", 0.7, 1.0), (5, "integrity/missing_action", "action", None, None),
+    }
+    state = detectors.signal_integrity(s, e, 10.0, ("observation.state",)).where("issue_code = 'integrity/missing_state'")
+    assert {r.episode_index for r in state.collect()} == {2, 3, 4}
+
+
+def test_camera_shake(spark):
+    from epiframe.operators import visual
+
+    moves = [None, [0.0, 0.0], [9.0, 0.0], [0.0, 0.0], [9.0, 0.0], [9.0, 0.0], None, [0.0, 9.0], [0.0, 9.0], [0.0, float("nan")]]
+    rows = [(0, c, i, m, 0.5 + i / 100, 0.25, 10 + i) for c in ("head", "left_wrist_front") for i, m in enumerate(moves)]
+    d = spark.createDataFrame(rows, "episode_index long, camera_key string, frame_index long, motion array<double>, inlier_ratio double, spatial_coverage double, tracked_points int")
+    assert [r.change for r in visual.motion_changes(d.where("camera_key = 'head'")).orderBy("frame_index").collect()] == [None, None, 9.0, 9.0, 9.0, 0.0, None, None, 0.0, None]
+    got = visual.shake_findings(d, 2.0).collect()
+    assert [(r.camera_key, r.start_s, r.end_s, r.change_max, round(r.inlier_median, 6), r.tracked_min) for r in got] == [("head", 0.9, 2.6, 9.0, 0.54, 11)]
+
+
+def test_image_folder(spark, tmp_path):
+    import zlib
+
+    from epiframe.functions import images
+
+    part = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    png = lambda rgb: b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress((b"\0" + bytes(rgb) * 2) * 2)) + part(b"IEND", b"")
+    (tmp_path / "b.png").write_bytes(png((250, 10, 0)))
+    (tmp_path / "a.png").write_bytes(png((1, 2, 3)))
+    (tmp_path / "c.png").write_bytes(b"none")
+    d = images.image_folder(spark, str(tmp_path), "head")
+    assert [(r.frame_index, bytes(r.pixels)) for r in d.orderBy("frame_index").collect()] == [(0, bytes((1, 2, 3)) * 4), (1, bytes((250, 10, 0)) * 4)]
+    assert images.frame_metrics(d).count() == 2

@@ -160,3 +160,44 @@ def visual_findings(spark: SparkSession, d: str) -> DataFrame:
     """Exposure and blur findings of one camera, whose luma and sharpness the messages' numbers stand for."""
     m = proxy.frames(spark, d).select("episode_index", F.lit("c").alias("camera_key"), "frame_index", (F.col("value") * 2).alias("mean_luma"), F.col("k").alias("blur"))
     return visual.exposure_findings(m, FPS).select("episode_index", "issue_code", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query("SELECT p_partkey, (contains(lower(p_name), 'base') OR contains(lower(p_name), 'head') OR contains(lower(p_name), 'main') OR contains(lower(p_name), 'front') OR contains(lower(p_name), 'overhead')) AND NOT (contains(lower(p_name), 'wrist') OR contains(lower(p_name), 'hand') OR contains(lower(p_name), 'eef')) AS fixed FROM (SELECT p_partkey, (['Base_', 'cam_HEAD', 'wrist_front', 'side', 'overhead_hand', 'main'])[p_partkey % 6 + 1] || p_size AS p_name FROM part)")
+def static_cameras(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in ("Base_", "cam_HEAD", "wrist_front", "side", "overhead_hand", "main")])
+    name = F.concat(F.element_at(names, (F.col("p_partkey") % 6 + 1).cast("int")), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", visual.is_static_camera(name).alias("fixed"))
+
+
+@query(with_views("""m AS (SELECT episode_index, frame_index, value AS x, k / 10.0 AS y, frame_index > 0 AND id % 13 <> 0 AS ok FROM frames)
+SELECT episode_index, frame_index, CASE WHEN ok AND lag(ok) OVER w THEN round(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 6) END AS change FROM m WINDOW w AS (PARTITION BY episode_index ORDER BY frame_index)""", "frames"))
+def camera_motion_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of motion vectors, for which two numbers of each message stand; some pairs are not reliable."""
+    ok = (F.col("frame_index") > 0) & (F.col("id") % 13 != 0)
+    m = proxy.frames(spark, d).select("episode_index", F.lit("head").alias("camera_key"), "frame_index", F.when(ok, F.array("value", F.col("k") / 10.0)).alias("motion"))
+    return visual.motion_changes(m).select("episode_index", "frame_index", F.round("change", 6).alias("change"))
+
+
+@query(with_views("""n AS (SELECT episode_index, topic, count(*) AS messages FROM frames GROUP BY 1, 2)
+SELECT episode_index AS file, arg_min(topic, (CASE WHEN topic LIKE '%k' THEN 0 ELSE 2 END, -messages, topic)) AS topic FROM (SELECT episode_index, topic, messages FROM n) GROUP BY 1""", "frames"))
+def anchor_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The topic that splits a log; here messages of topics that end in k are of a joint type."""
+    n = proxy.frames(spark, d).groupBy(F.col("episode_index").alias("file"), "topic").agg(F.count(F.lit(1)).alias("messages"))
+    return D.anchor_topics(n.withColumn("schema_name", F.when(F.col("topic").endswith("k"), "JointState").otherwise("plain")))
+
+
+@query(with_views("""x AS (SELECT episode_index, frame_index, CASE WHEN id % 97 = 0 THEN NULL ELSE value END AS v FROM frames),
+a AS (SELECT episode_index, count(*) AS n, min(frame_index) FILTER (v IS NULL) AS a, max(frame_index) FILTER (v IS NULL) AS b FROM x GROUP BY 1),
+s AS (SELECT episode_index, count(*) AS n FROM frames WHERE episode_index % 3 <> 0 OR frame_index % 2 = 0 GROUP BY 1)
+SELECT episode_index, 'integrity/non_finite_signal' AS issue_code, 'action' AS signal_key, round(a / 10.0, 6) AS start_s, round(least(n / 10.0, (b + 1) / 10.0), 6) AS end_s FROM a WHERE a IS NOT NULL
+UNION ALL SELECT episode_index, 'integrity/signal_length_mismatch', 'observation.state', NULL, NULL FROM a JOIN s USING (episode_index) WHERE abs(s.n - a.n) > greatest(2, CAST(round_even(a.n * 0.1, 0) AS BIGINT))
+UNION ALL SELECT episode_index, 'integrity/action_state_length_mismatch', NULL, NULL, NULL FROM a JOIN s USING (episode_index) WHERE abs(s.n - a.n) > greatest(2, CAST(round_even(a.n * 0.1, 0) AS BIGINT))""", "frames"))
+def vector_signal_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """Findings on two vector signals, of which the state lacks every second frame of every third episode."""
+    f = proxy.frames(spark, d)
+    v = F.when(F.col("id") % 97 != 0, F.col("value"))
+    action = f.select("episode_index", F.lit("action").alias("signal_key"), "frame_index", F.array(F.lit(1.0), v).alias("value"))
+    state = f.where("episode_index % 3 <> 0 or frame_index % 2 = 0").select("episode_index", F.lit("observation.state").alias("signal_key"), "frame_index", F.array("value").alias("value"))
+    e = f.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
+    got = detectors.signal_integrity(action.unionByName(state), e, FPS, ("action", "observation.state"))
+    return got.select("episode_index", "issue_code", "signal_key", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))

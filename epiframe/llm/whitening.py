@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.llm.common import materialize, table
@@ -123,22 +123,30 @@ class Whitening:
         self.mean = np.array([s / self.n for s in self.sums])
         self.kept = int((self.values > LEAST * max(self.values[0], 0)).sum())
 
+    def deviation(self, x: np.ndarray) -> list[int | None]:
+        """The sum of (n x - S)^2 of each row, exact, or None where it is beyond a long."""
+        most = max(map(abs, self.sums)) + self.n * (max(abs(int(x.max())), abs(int(x.min()))) if x.size else 0)
+        exact = np.int64 if most * most * x.shape[1] < 1 << 63 else object
+        off = x.astype(exact) * self.n - np.array(self.sums, exact)
+        return [d if d < 1 << 63 else None for d in (off * off).sum(1).tolist()]
+
     def whiten(self, rows: DataFrame, k: int, column: str = "x") -> DataFrame:
-        """Adds ``whitened``, the first k components at most."""
+        """Adds ``whitened``, the first k components at most, and ``deviation``."""
         k = min(k, self.kept)
-        names = [c for c in rows.columns if c != "whitened"]
-        shared = rows.sparkSession.sparkContext.broadcast((self.mean, self.vectors[:, :k] / np.sqrt(self.values[:k])))
+        names = [c for c in rows.columns if c not in ("whitened", "deviation")]
+        shared = rows.sparkSession.sparkContext.broadcast((self, self.vectors[:, :k] / np.sqrt(self.values[:k])))  # dimensions squared
         at = names.index(column)
 
         def project(batches):
-            mean, turn = shared.value
+            model, turn = shared.value
             for b in batches:
-                y = (_matrix(b.column(at), len(mean)) - mean) @ turn
-                flat = pa.array(y.ravel(), pa.float64())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * k), flat)], names=[*names, "whitened"])
+                x = _matrix(b.column(at), len(model.mean))
+                flat = pa.array(((x - model.mean) @ turn).ravel(), pa.float64())
+                white = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), flat)
+                yield pa.RecordBatch.from_arrays([*b.columns, white, pa.array(model.deviation(x), pa.int64())], names=[*names, "whitened", "deviation"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-        return rows.select(*names).mapInArrow(project, f"{kinds}, whitened array<double>")
+        return rows.select(*names).mapInArrow(project, f"{kinds}, whitened array<double>, deviation long")
 
 
 def fit(distinct: DataFrame, dim: int) -> Whitening | None:
@@ -159,28 +167,18 @@ def identity_error(distinct: DataFrame, model: Whitening, k: int) -> float:
     return float(np.abs(covariance(white, "whitened", n, np.array(s) / n) - np.eye(k)).max())
 
 
-def deviation(x: Column, model: Whitening) -> Column:
-    """The sum of (n x - S)^2, exact, or null where it is beyond a long."""
-    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
-    s = F.lit([str(t) for t in model.sums]).cast("array<decimal(38,0)>")
-    step = lambda c, t: F.try_subtract(F.try_multiply(c.cast("decimal(19,0)"), F.lit(model.n).cast("decimal(19,0)")).cast("decimal(38,0)"), t)
-    off = F.zip_with(x, s, step)
-    inside = F.forall(off, lambda d: F.abs(d) <= 1 << 32)  # beyond it the square is beyond a long
-    total = F.aggregate(off, F.lit(0).cast("decimal(38,0)"), lambda a, d: (a + d.cast("long").cast("decimal(18,0)") * d.cast("long").cast("decimal(18,0)")).cast("decimal(38,0)"))
-    return F.when(inside, F.when(total <= most, total.cast("long")))
-
-
 def whitened(vectors: DataFrame, k: int = COMPONENTS) -> tuple[DataFrame, Whitening | None, float | None]:
-    """The rows that take part with ``x`` and ``whitened``, what was fitted, and its identity error."""
+    """The rows that take part with ``x``, ``whitened`` and ``deviation``, what was fitted, and its identity error."""
     rows = materialize(quantized(vectors), "whitening-rows")
+    none = {"whitened": F.array().cast("array<double>"), "deviation": F.lit(None).cast("long")}
     size = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if size is None:
-        return rows.withColumn("whitened", F.array().cast("array<double>")), None, None
+        return rows.withColumns(none), None, None
     rows = rows.where(F.size("x") == size.d)
     distinct = materialize(rows.select("x").distinct(), "whitening-fit")
     model = fit(distinct, size.d)
     if not model.kept:
-        return rows.withColumn("whitened", F.array().cast("array<double>")), model, None
+        return rows.withColumns(none), model, None
     return model.whiten(rows, k), model, identity_error(distinct, model, k)
 
 
@@ -189,5 +187,5 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     if error is None:
         return spark.createDataFrame([], COLUMNS)
     share = F.lit((model.values[:COMPONENTS] / model.trace).tolist())
-    each = rows.select("vec_id", deviation(F.col("x"), model).alias("deviation"), F.posexplode("whitened").alias("j", "whitened"))
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("j", "whitened"))
     return each.select("vec_id", (F.col("j") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.element_at(share, F.col("j") + 1).alias("explained"), F.lit(error).alias("identity_error"))

@@ -74,5 +74,5 @@ def test_components_without_variance_and_large_entries(spark, tmp_path):
     same(query(spark, str(tmp_path)), brute(rows))
     assert {r[1] for r in query(spark, str(tmp_path))} == {1}
     big = spark.createDataFrame([(i, [3e30 * i, 1.0 * i * i], "w", 1, 2) for i in range(5)], SCHEMA)
-    out, model, _ = whitening.whitened(big)
-    assert out.count() == 5 and out.where(whitening.deviation(F.col("x"), model).isNotNull()).count() == 0
+    out, _, _ = whitening.whitened(big)
+    assert out.count() == 5 and out.where(F.col("deviation").isNotNull()).count() == 0

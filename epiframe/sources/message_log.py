@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Fixed values of the container format.
 MAGIC = b"\x89MCAP0\r\n"
-HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, CHUNK_INDEX, STATISTICS, DATA_END = 0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x08, 0x0B, 0x0F
+HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, STATISTICS, DATA_END = 0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x08, 0x0B, 0x0F
 #: The footer's record and the closing magic number.
 TAIL = 9 + 20 + len(MAGIC)
 
@@ -44,12 +44,16 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def log_files(path: str) -> list[str]:
-    """Logs at a path: a file, a pattern of local files, or a folder at any depth; sorted."""
+    """Logs at a path: a file, a pattern of local files, or a folder, at its top or where it has none there one level
+    below; sorted."""
     system, own = _system(path)
     prefix = path[: len(path) - len(own)] if path.endswith(own) else ""
     kind = system.get_file_info(own).type
     if kind == fs.FileType.Directory:
-        return sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(own, recursive=True)) if f.is_file and f.path.endswith(".mcap"))
+        listed = lambda d: system.get_file_info(fs.FileSelector(d))
+        top = listed(own)
+        found = [f.path for f in top if f.is_file and f.path.endswith(".mcap")]
+        return sorted(prefix + p for p in found or [f.path for d in top if not d.is_file for f in listed(d.path) if f.is_file and f.path.endswith(".mcap")])
     return [path] if kind == fs.FileType.File else sorted(glob.glob(own))
 
 
@@ -91,13 +95,16 @@ class Summary:
 
     schemas: dict[int, tuple[str, str]] = field(default_factory=dict)
     channels: dict[int, tuple[int, str, str]] = field(default_factory=dict)
-    chunks: list[tuple[int, int]] = field(default_factory=list)
+    bodies: dict[tuple[int, int], bytes] = field(default_factory=dict)
+    chunks: list[tuple[int, int, int, int]] = field(default_factory=list)
     counts: dict[int, int] | None = None
     start: int | None = None
     end: int | None = None
     whole: bool = False
 
     def define(self, op: int, b: bytes) -> None:
+        if op in (SCHEMA, CHANNEL):
+            self.bodies[op, struct.unpack_from("<H", b)[0]] = b
         if op == SCHEMA:
             name, at = _string(b, 2)
             self.schemas[struct.unpack_from("<H", b)[0]] = (name, _string(b, at)[0])
@@ -122,8 +129,8 @@ def read_summary(f, size: int) -> Summary:
     for op, b in _records(f.read(size - TAIL - start)):
         s.define(op, b)
         if op == CHUNK_INDEX:
-            _, _, at, length = struct.unpack_from("<QQQQ", b)
-            s.chunks.append((at, length))
+            first, last, at, length = struct.unpack_from("<QQQQ", b)
+            s.chunks.append((at, length, first, last))
         elif op == STATISTICS:
             n, _, n_channels, _, _, n_chunks, s.start, s.end, n_bytes = struct.unpack_from("<QHIIIIQQI", b)
             s.counts = dict(struct.iter_unpack("<HQ", b[46 : 46 + n_bytes]))
@@ -145,12 +152,13 @@ def _open(path: str):
 
 
 def splits(path: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[int, int]]:
-    """Byte ranges of a file that can be read alone; they start at chunks and leave nothing out between them."""
+    """Byte ranges of a file that can be read alone; they start at chunks and leave nothing out between them. The summary
+    is looked up only where the file is longer than a split."""
     f, size = _open(path)
     with f:
-        s = read_summary(f, size)
+        s = read_summary(f, size) if size > split_bytes else Summary()
     cuts = [len(MAGIC)]
-    for at, _ in s.chunks if s.whole else ():
+    for at, *_ in s.chunks if s.whole else ():
         if at - cuts[-1] >= split_bytes:
             cuts.append(at)
     return list(zip(cuts, [*cuts[1:], size], strict=True))
@@ -211,8 +219,10 @@ class LogWriter:
     """Writes a log chunk by chunk, with a summary; a channel is a topic with its schema and encodings. The file appears
     under its name when it is complete."""
 
-    def __init__(self, path: str, compression: str = "zstd", chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, path: str, compression: str = "zstd", chunk_bytes: int = CHUNK_BYTES, definitions: Iterable[tuple[int, bytes]] = ()):
         self.system, self.own = _system(path)
+        self.building = f"{self.own}.{uuid.uuid4().hex}.tmp"
+        self.entries: dict[int, list[tuple[int, int]]] = {}
         self.compression, self.chunk_bytes, self.at = compression, chunk_bytes, 0
         self.schemas: dict[tuple[str, str], int] = {}
         self.channels: dict[tuple, int] = {}
@@ -221,8 +231,11 @@ class LogWriter:
         self.index: list[bytes] = []
         self.chunk: list[bytes] = []
         self.size, self.first, self.last, self.start, self.end = 0, None, None, None, None
-        self.out = self.system.open_output_stream(self.own + ".tmp")
+        self.out = self.system.open_output_stream(self.building)
         self._put(MAGIC + self._record(HEADER, self._text("") + self._text("epiframe")))
+        for op, body in definitions:
+            self.defined.append(self._record(op, body))
+            self._put(self.defined[-1])
 
     @staticmethod
     def _text(s: str) -> bytes:
@@ -253,7 +266,12 @@ class LogWriter:
             n = self.channels[key] = len(self.channels) + 1
             self._define(self._record(CHANNEL, struct.pack("<HH", n, self.schemas[kind]) + self._text(topic) + self._text(message_encoding) + struct.pack("<I", 0)))
         number = self.channels[key]
-        self._hold(self._record(MESSAGE, struct.pack("<HIQQ", number, self.counts[number] & 0xFFFFFFFF, at, at if publish is None else publish) + data))
+        self.put(number, self.counts[number] & 0xFFFFFFFF, at, at if publish is None else publish, data)
+
+    def put(self, number: int, sequence: int, at: int, publish: int, data: bytes) -> None:
+        """A message of a channel by its number."""
+        self.entries.setdefault(number, []).append((at, self.size))
+        self._hold(self._record(MESSAGE, struct.pack("<HIQQ", number, sequence, at, publish) + data))
         self.counts[number] += 1
         self.first, self.last = (at, at) if self.first is None else (min(self.first, at), max(self.last, at))
         if self.size >= self.chunk_bytes:
@@ -265,25 +283,45 @@ class LogWriter:
         first, last = (self.first, self.last) if self.first is not None else (0, 0)
         plain = b"".join(self.chunk)
         body = pa.Codec(self.compression).compress(plain, asbytes=True) if self.compression else plain
-        record = self._record(CHUNK, struct.pack("<QQQI", first, last, len(plain), 0) + self._text(self.compression) + struct.pack("<Q", len(body)) + body)
-        self.index.append(self._record(CHUNK_INDEX, struct.pack("<QQQQIQ", first, last, self.at, len(record), 0, 0) + self._text(self.compression) + struct.pack("<QQ", len(body), len(plain))))
+        chunk = struct.pack("<QQQI", first, last, len(plain), 0) + self._text(self.compression) + struct.pack("<Q", len(body)) + body
+        times = [struct.pack("<HI", n, 16 * len(es)) + b"".join(struct.pack("<QQ", *e) for e in es) for n, es in sorted(self.entries.items())]
+        self._chunk(chunk, times)
+        self.chunk, self.size, self.first, self.last, self.entries = [], 0, None, None, {}
+
+    def _chunk(self, chunk: bytes, times: list[bytes]) -> None:
+        first, last, n_plain, _ = struct.unpack_from("<QQQI", chunk)
+        kind, at = _string(chunk, 28)
+        record, where = self._record(CHUNK, chunk), self.at
         self._put(record)
+        places = b""
+        for t in times:
+            places += t[:2] + struct.pack("<Q", self.at)
+            self._put(self._record(MESSAGE_INDEX, t))
+        told = struct.pack("<QQQQI", first, last, where, len(record), len(places)) + places + struct.pack("<Q", self.at - where - len(record))
+        self.index.append(self._record(CHUNK_INDEX, told + self._text(kind) + chunk[at : at + 8] + struct.pack("<Q", n_plain)))
         self.start, self.end = (first, last) if self.start is None else (min(self.start, first), max(self.end, last))
-        self.chunk, self.size, self.first, self.last = [], 0, None, None
+
+    def put_chunk(self, chunk: bytes, times: list[bytes]) -> None:
+        """A chunk as it is, with its message indexes; its channels have been defined under the same numbers."""
+        self._flush()
+        self._chunk(chunk, times)
+        for t in times:
+            self.counts[struct.unpack_from("<H", t)[0]] += struct.unpack_from("<I", t, 2)[0] // 16
 
     def close(self) -> None:
         self._flush()
         self._put(self._record(DATA_END, struct.pack("<I", 0)))
         start, counts = self.at, b"".join(struct.pack("<HQ", *c) for c in sorted(self.counts.items()))
-        told = struct.pack("<QHIIIIQQI", sum(self.counts.values()), len(self.schemas), len(self.channels), 0, 0, len(self.index), self.start or 0, self.end or 0, len(counts))
+        kinds = Counter(d[0] for d in self.defined)
+        told = struct.pack("<QHIIIIQQI", sum(self.counts.values()), kinds[SCHEMA], kinds[CHANNEL], 0, 0, len(self.index), self.start or 0, self.end or 0, len(counts))
         self._put(b"".join([*self.defined, *self.index, self._record(STATISTICS, told + counts)]))
         self._put(self._record(FOOTER, struct.pack("<QQI", start, 0, 0)) + MAGIC)
         self.out.close()
-        self.system.move(self.own + ".tmp", self.own)
+        self.system.move(self.building, self.own)
 
     def abandon(self) -> None:
         self.out.close()
-        self.system.delete_file(self.own + ".tmp")
+        self.system.delete_file(self.building)
 
 
 def write_log(path: str, rows: list[tuple[str, str, int, bytes]], compression: str = "zstd", chunk_bytes: int = CHUNK_BYTES) -> None:

@@ -7,6 +7,7 @@ from abc import ABC, abstractmethod
 from pyspark.sql import DataFrame, SparkSession
 
 from epiframe.sources import episodes as E
+from epiframe.sources import log_episodes as L
 
 
 class Adapter(ABC):
@@ -39,34 +40,15 @@ class ParquetAdapter(Adapter):
 
 
 class MessageLogAdapter(Adapter):
-    """One episode a file: its length is the largest number of messages of a topic."""
+    """Episodes and series of message logs; writes nothing but copies of logs (``log_episodes.subset`` and ``merged``)."""
 
     format_id = E.MESSAGE_LOG
 
-    def _messages(self, spark, path):
-        from epiframe.sources.message_log import MessageLogSource
-
-        spark.dataSource.register(MessageLogSource)
-        return spark.read.format("message_log").load(path)
-
     def episodes(self, spark, path):
-        """From the files' summaries, without their messages."""
-        from pyspark.sql import functions as F
-
-        from epiframe.sources.message_log import MessageLogSummarySource
-
-        spark.dataSource.register(MessageLogSummarySource)
-        topics = spark.read.format("message_log_summary").load(path)
-        return topics.groupBy("file").agg(F.max("messages").alias("length"), ((F.max("end_time") - F.min("start_time")) / 1e9).alias("duration"))
+        return L.episodes(spark, path)
 
     def frames(self, spark, path, episode_indices=None, keys=None):
-        from pyspark.sql import functions as F
-
-        from epiframe.functions.payloads import decode_vector
-
-        m = self._messages(spark, path)
-        m = m.where(F.col("topic").isin(keys)) if keys else m
-        return m.select("file", "topic", "log_time", decode_vector(F.col("data"), F.col("schema_name")).alias("value"))
+        return L.series(spark, path, episode_indices, keys)
 
 
 class MissingAdapter(Adapter):

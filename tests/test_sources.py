@@ -189,7 +189,7 @@ def test_logs_split_at_chunks(spark, tmp_path):
     assert s.groupBy("topic").agg(F.sum("messages").alias("n")).collect() == [("/t1", 167)]
     t = spark.createDataFrame([("f", "/a", "x", 9), ("f", "/joint_states", "x", 2), ("g", "/b", "x", 4), ("g", "/c", "x", 4)], "file string, topic string, schema_name string, messages long")
     assert {(r.file, r.topic) for r in D.anchor_topics(t).collect()} == {("f", "/joint_states"), ("g", "/b")}
-    assert [(r.length, r.duration) for r in registry.MessageLogAdapter().episodes(spark, path).collect()] == [(167, 4990 / 1e9)]
+    assert [(r.length, r.duration) for r in registry.MessageLogAdapter().episodes(spark, path).collect()] == [(167, 4980 / 1e9)]  # by the anchor, /t0
 
 
 def test_signal_integrity(spark):

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,6 +186,8 @@ def subset(frame_rows: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 CHUNK = 1000
+#: Renames under way at once when files get their names.
+RENAMES = 16
 #: Frames from which a shard of version 3 is followed by the next one.
 SHARD_FRAMES = 1_000_000
 #: Episode rows of one metadata file.
@@ -236,9 +239,9 @@ def _write_files(df: DataFrame, s: Store, name_of) -> None:
     """Writes rows with ``__chunk`` and ``__file``, one file for each pair, and renames each to ``name_of(chunk, file)``."""
     staging = f"parts-{uuid.uuid4().hex}"
     df.write.partitionBy("__chunk", "__file").option("compression", "zstd").parquet(f"{s.path.toString()}/{staging}")
-    for f in s.files(f"{staging}/__chunk=*/__file=*/part-*.parquet"):
-        chunk, file = (int(x) for x in re.search(r"__chunk=(\d+)/__file=(\d+)/", f).groups())
-        s.move(f, name_of(chunk, file))
+    named = lambda f: s.move(f, name_of(*(int(x) for x in re.search(r"__chunk=(\d+)/__file=(\d+)/", f).groups())))
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(named, s.files(f"{staging}/__chunk=*/__file=*/part-*.parquet")))
     s.delete(staging)
 
 
@@ -267,42 +270,61 @@ def _published(spark: SparkSession, path: str, fill) -> None:
         raise
 
 
+def fill_v2(s: Store, d: DataFrame, e: DataFrame, named: DataFrame, info: dict, stats: DataFrame | None = None) -> None:
+    """The files of a version-2 dataset. ``stats`` (episode_index, ``stats/<series>/<metric>``) is taken from the frames
+    where it is not given."""
+    cut = d.withColumns({"__chunk": F.floor(F.col("episode_index") / CHUNK).cast("long"), "__file": F.col("episode_index")})
+    _write_files(cut.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index"), s, lambda c, f: f"data/chunk-{c:03d}/episode_{f:06d}.parquet")
+    _write_lines(e.select("episode_index", "tasks", "length").orderBy("episode_index"), s, "meta/episodes.jsonl")
+    _write_lines(named.select("task_index", "task").orderBy("task_index"), s, "meta/tasks.jsonl")
+    stats = _with_stats(e.select("episode_index"), d) if stats is None else stats
+    of: dict[str, list[str]] = {}
+    for x in stats.columns:
+        if x.startswith("stats/"):
+            of.setdefault(x[len("stats/") :].rsplit("/", 1)[0], []).append(x)
+    shaped = F.struct(*[F.struct(*[F.col(f"`{x}`").alias(x.rsplit("/", 1)[1]) for x in xs]).alias(c) for c, xs in of.items()]) if of else F.create_map().cast("map<string,string>")
+    _write_lines(stats.select("episode_index", shaped.alias("stats")).orderBy("episode_index"), s, "meta/episodes_stats.jsonl")
+    s.write_text("meta/info.json", json.dumps(info, indent=2))
+
+
+def fill_v3(s: Store, d: DataFrame, e: DataFrame, named: DataFrame, info: dict, stats: DataFrame | None = None, shard_frames: int = SHARD_FRAMES) -> None:
+    """The files of a version-3 dataset; ``stats`` as in version 2."""
+    file = F.floor(F.col("from_index") / shard_frames).cast("long")
+    e = e.withColumns({"data/chunk_index": F.floor(file / CHUNK).cast("long"), "data/file_index": file % CHUNK})
+    at = e.select("episode_index", F.col("`data/chunk_index`").alias("__chunk"), F.col("`data/file_index`").alias("__file"))
+    _write_files(d.join(at, "episode_index").repartition("__chunk", "__file").sortWithinPartitions("__chunk", "__file", "episode_index", "frame_index"), s, lambda c, f: f"data/chunk-{c:03d}/file-{f:03d}.parquet")
+    rows = (_with_stats(e, d) if stats is None else e.join(stats, "episode_index", "left")).withColumnsRenamed({"from_index": "dataset_from_index", "to_index": "dataset_to_index"})
+    part = F.floor(F.col("episode_index") / META_ROWS).cast("long")
+    rows = rows.withColumns({"__chunk": F.floor(part / CHUNK).cast("long"), "__file": part % CHUNK})
+    _write_files(rows.repartition("__chunk", "__file").sortWithinPartitions("episode_index"), s, lambda c, f: f"meta/episodes/chunk-{c:03d}/file-{f:03d}.parquet")
+    _write_lines(named.select("task_index", "task").orderBy("task_index"), s, "meta/tasks.jsonl")
+    s.write_text("meta/info.json", json.dumps(info, indent=2))
+
+
 def write_v2(frame_rows: DataFrame, path: str, fps: float, robot_type: str | None = None, tasks: DataFrame | None = None) -> None:
     """A version-2 dataset: a file an episode; lines of episodes, their statistics and tasks; info."""
     d, e, named = _prepared(frame_rows, fps, tasks)
-
-    def fill(s: Store) -> None:
-        cut = d.withColumns({"__chunk": F.floor(F.col("episode_index") / CHUNK).cast("long"), "__file": F.col("episode_index")})
-        _write_files(cut.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index"), s, lambda c, f: f"data/chunk-{c:03d}/episode_{f:06d}.parquet")
-        _write_lines(e.select("episode_index", "tasks", "length").orderBy("episode_index"), s, "meta/episodes.jsonl")
-        _write_lines(named.select("task_index", "task").orderBy("task_index"), s, "meta/tasks.jsonl")
-        stats = _with_stats(e.select("episode_index"), d)
-        of = {c: [x for x in stats.columns if x.startswith(f"stats/{c}/")] for c in _vector_columns(d)}
-        shaped = F.struct(*[F.struct(*[F.col(f"`{x}`").alias(x.rsplit("/", 1)[1]) for x in xs]).alias(c) for c, xs in of.items()]) if of else F.create_map().cast("map<string,string>")
-        _write_lines(stats.select("episode_index", shaped.alias("stats")).orderBy("episode_index"), s, "meta/episodes_stats.jsonl")
-        s.write_text("meta/info.json", json.dumps(_info("v2.1", V2, d, e, named, fps, robot_type), indent=2))
-
-    _published(frame_rows.sparkSession, path, fill)
+    _published(frame_rows.sparkSession, path, lambda s: fill_v2(s, d, e, named, _info("v2.1", V2, d, e, named, fps, robot_type)))
 
 
 def write_v3(frame_rows: DataFrame, path: str, fps: float, robot_type: str | None = None, tasks: DataFrame | None = None, shard_frames: int = SHARD_FRAMES) -> None:
     """A version-3 dataset: shards of whole episodes in order, each ended by the episode that fills it; episode rows
     with their shard, index range and statistics; tasks; info."""
     d, e, named = _prepared(frame_rows, fps, tasks)
-    file = F.floor(F.col("from_index") / shard_frames).cast("long")
-    e = e.withColumns({"data/chunk_index": F.floor(file / CHUNK).cast("long"), "data/file_index": file % CHUNK})
+    _published(frame_rows.sparkSession, path, lambda s: fill_v3(s, d, e, named, _info("v3.0", V3, d, e, named, fps, robot_type), shard_frames=shard_frames))
+
 
-    def fill(s: Store) -> None:
-        at = e.select("episode_index", F.col("`data/chunk_index`").alias("__chunk"), F.col("`data/file_index`").alias("__file"))
-        _write_files(d.join(at, "episode_index").repartition("__chunk", "__file").sortWithinPartitions("__chunk", "__file", "episode_index", "frame_index"), s, lambda c, f: f"data/chunk-{c:03d}/file-{f:03d}.parquet")
-        rows = _with_stats(e, d).withColumnsRenamed({"from_index": "dataset_from_index", "to_index": "dataset_to_index"})
-        part = F.floor(F.col("episode_index") / META_ROWS).cast("long")
-        rows = rows.withColumns({"__chunk": F.floor(part / CHUNK).cast("long"), "__file": part % CHUNK})
-        _write_files(rows.repartition("__chunk", "__file").sortWithinPartitions("episode_index"), s, lambda c, f: f"meta/episodes/chunk-{c:03d}/file-{f:03d}.parquet")
-        _write_lines(named.select("task_index", "task").orderBy("task_index"), s, "meta/tasks.jsonl")
-        s.write_text("meta/info.json", json.dumps(_info("v3.0", V3, d, e, named, fps, robot_type), indent=2))
-
-    _published(frame_rows.sparkSession, path, fill)
+def episode_stats(spark: SparkSession, path: str) -> DataFrame | None:
+    """(episode_index, ``stats/<series>/<metric>`` arrays) as the dataset's own metadata tell them, or None."""
+    if detect_format(spark, path) == V3:
+        e = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/meta/episodes")
+        return e.select("episode_index", *[F.col(f"`{c}`") for c in e.columns if c.startswith("stats/")])
+    if not Store(spark, path).has("meta/episodes_stats.jsonl"):
+        return None
+    e = spark.read.option("mode", "FAILFAST").json(f"{path}/meta/episodes_stats.jsonl")
+    of = dict(e.dtypes).get("stats", "")
+    fields = e.schema["stats"].dataType.fields if of.startswith("struct") else []
+    return e.select("episode_index", *[F.col(f"stats.`{f.name}`.`{m}`").alias(f"stats/{f.name}/{m}") for f in fields for m in f.dataType.fieldNames()])
 
 
 def tasks_table(spark: SparkSession, path: str) -> DataFrame:

@@ -9,8 +9,10 @@ from epiframe import proxy
 from epiframe.functions import control, kernels
 from epiframe.operators import intervals as I
 from epiframe.operators import signals as S
+from epiframe.operators.datasets import anchor_topics
 from epiframe.plans.registry import query
 from epiframe.proxy import FPS, with_views
+from epiframe.sources.log_episodes import gap_episodes, in_windows
 
 GAP_US = 6 * 3600 * 1_000_000
 
@@ -260,3 +262,20 @@ def series_long_form(spark: SparkSession, d: str) -> DataFrame:
     e = proxy.table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("dim", "v"))
     w = Window.partitionBy("label", "dim").orderBy("vec_id")
     return e.select("label", F.col("dim").cast("long").alias("dim"), "vec_id", (F.row_number().over(w) - 1).cast("long").alias("frame_index"), F.round(F.col("v").cast("double"), 6).alias("value"))
+
+
+ANCHOR_GAP_US = 24 * 3600 * 1_000_000
+
+
+@query(with_views(f"""n AS (SELECT stream, topic, count(*) AS c FROM messages GROUP BY 1, 2), a AS (SELECT stream, arg_min(topic, (-c, topic)) AS topic FROM n GROUP BY 1),
+t AS (SELECT stream, t_us, CASE WHEN t_us - lag(t_us) OVER w > {ANCHOR_GAP_US} THEN 1 ELSE 0 END AS o FROM messages JOIN a USING (stream, topic) WINDOW w AS (PARTITION BY stream ORDER BY t_us)),
+g AS (SELECT stream, t_us, sum(o) OVER (PARTITION BY stream ORDER BY t_us) AS segment FROM t), e AS (SELECT stream, CAST(segment AS BIGINT) AS segment, min(t_us) AS start_us, max(t_us) AS end_us, count(*) AS length FROM g GROUP BY 1, 2)
+SELECT e.stream, segment, start_us, end_us, length, count(m.id) AS messages, count(DISTINCT m.topic) AS topics FROM e JOIN messages m ON m.stream = e.stream AND m.t_us BETWEEN start_us AND end_us GROUP BY ALL""", "messages"))
+def log_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes of every stream by gaps of its most frequent topic, with the messages of all topics that they hold."""
+    m = proxy.messages(spark, d)
+    n = m.groupBy(F.col("stream").alias("file"), "topic").agg(F.count(F.lit(1)).alias("messages"))
+    anchors = anchor_topics(n.withColumn("schema_name", F.lit("plain"))).withColumnRenamed("file", "stream")
+    e = gap_episodes(m.join(anchors, ["stream", "topic"]), ["stream"], "t_us", ANCHOR_GAP_US)
+    met = in_windows(m, e, ["stream"], "t_us").groupBy("stream", "segment", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "length")
+    return met.agg(F.count("id").alias("messages"), F.count_distinct("topic").alias("topics"))

@@ -1,16 +1,18 @@
 """Approximate nearest neighbours: adaptive dimension scan within probed lists.
 
-Vectors are dealt to the lists of a coarse quantizer. A query probes its nearest lists; in each, rotated vectors
-are scanned in blocks of columns. After each block a hypothesis test compares the partial distance, scaled to all
-dimensions, with the query's present k-th distance, and candidates that are far beyond it are abandoned; a random
-rotation makes the test valid. The k-th distance is that of the k candidates which look nearest after the block, and
-only ever falls. Survivors get their exact distance on the original vectors.
-
-There are about as many lists as the square root of the vectors: up to ``COARSE`` centres, and beyond that each
-centre's list is divided by a second quantizer, of what is left of a vector when its centre is taken off. Both and the
-number of probed lists are fitted on at most ``SAMPLE`` vectors, those least by a hash of their id: probes are doubled
-until the sample's own neighbours are found at ``RECALL``. Every vector is indexed. A query whose probed lists hold
-too few vectors is scanned over all lists.
+Vectors are dealt to the lists of a coarse quantizer. A query probes its nearest lists in two rounds: the first few
+give a k-th distance, the others are scanned against it. Rotated vectors are scanned in blocks of columns; after each
+block a hypothesis test compares a candidate's partial distance with the share of the query's present k-th distance
+that true neighbours have by then, and candidates beyond it are abandoned. The shares are calibrated on the sample: of
+its neighbours' partial distances, over their full ones, all but ``MISS`` lie below. The k-th distance only ever falls:
+it is the first round's, or that of the k candidates of the piece which look nearest after the first block. Survivors
+get their exact distance on the original vectors.
+
+There are about twice as many lists as the square root of the vectors: up to ``COARSE`` centres, and beyond that each
+centre's list is divided by a second quantizer, of what is left of a vector when its centre is taken off. Both, the
+calibration and the number of probed lists are fitted on at most ``SAMPLE`` vectors, those least by a hash of their id:
+probes grow by a tenth of the lists until the lists hold ``RECALL`` of the sample's own neighbours. Every vector is
+indexed. A query whose probed lists hold too few vectors is scanned over all lists.
 
 Equal vectors are one candidate and equal queries one search: of each vector only the k + 1 least ids can be
 neighbours, since ties go to the least id, and the answer of equal queries is told to each of them. So a vector that a
@@ -33,10 +35,13 @@ from pyspark.sql import functions as F
 
 from epiframe.llm.common import materialize, table
 
-K, SAMPLE, PIECE, PART, SEED, RECALL, COARSE = 10, 20_000, 8192, 1024, 7, 0.985, 4096
-BLOCK, EPSILON = 16, 2.1
+K, SAMPLE, PIECE, PART, SEED, RECALL, COARSE = 10, 20_000, 8192, 1024, 7, 0.95, 4096
+BLOCK, MISS = 16, 0.002
+#: Of the probed lists, those of the first round; pairs of a query and a candidate that are scanned together.
+FIRST, PAIRS = 0.125, 1 << 18
 QUERY_EVERY = 100
-#: Lists up to which their table (three numbers a list) is broadcast; with more of them it is joined by shuffle.
+#: Lists up to which their table (three numbers a list) is broadcast; with more of them it is joined by shuffle. Results
+#: are the same either way.
 BROADCAST_LISTS = 200_000
 
 
@@ -84,10 +89,15 @@ class Quantizer:
         d = _distances(x[every], x)
         d[np.arange(len(every)), every] = np.inf  # a query is none of its own neighbours
         k = min(K, len(x) - 1)
-        want = self.lists_of(x)[np.argpartition(d, max(k - 1, 0), axis=1)[:, :k]]
-        self.probes = min(4, self.lists)
-        while self.probes < self.lists and k and (want[:, :, None] == self.order(x[every], self.probes)[:, None, :]).any(2).mean() < RECALL:
-            self.probes = min(2 * self.probes, self.lists)
+        near = np.argpartition(d, max(k - 1, 0), axis=1)[:, :k]
+        want, ranked = self.lists_of(x)[near], self.order(x[every], self.lists)
+        step = max(1, self.lists // 10)
+        held = [(want[:, :, None] == ranked[:, None, :n]).any(2).mean() if k else 1.0 for n in range(step, self.lists, step)]
+        self.probes = next((step * (i + 1) for i, r in enumerate(held) if r >= RECALL), self.lists)
+        self.first = max(1, int(self.probes * FIRST))
+        off = ((x[near] - x[every][:, None]) @ self.rotation) ** 2
+        full = np.maximum(off.sum(2), 1e-300)
+        self.limits = [float(np.quantile(off[:, :, :at].sum(2) / full, 1 - MISS)) if k else 1.0 for at in range(BLOCK, self.dim, BLOCK)]
 
     @property
     def lists(self) -> int:
@@ -109,28 +119,38 @@ class Quantizer:
         return out
 
 
-def scan(q: np.ndarray, turned_q: np.ndarray, ids: np.ndarray, x: np.ndarray, turned: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of one piece, as (ids, distances)."""
-    dim, left, bound = x.shape[1], np.arange(len(ids)), np.inf
-    part = ((turned[:, :BLOCK] - turned_q[:BLOCK]) ** 2).sum(1)
-    for at in range(BLOCK, dim, BLOCK):
-        if len(left) <= k:
-            break
-        # the present k-th distance: that of the k which look nearest
-        first = left[np.argpartition(part, k - 1)[:k]]
-        bound = min(bound, np.max(((x[first] - q) ** 2).sum(1)))
-        # abandon where the scaled partial distance exceeds it by more than chance allows
-        keep = part <= bound * (1 + EPSILON / np.sqrt(at)) ** 2 * at / dim * (1 + 1e-9) + 1e-12
-        left, part = left[keep], part[keep]
-        nxt = slice(at, min(at + BLOCK, dim))
-        part = part + ((turned[left, nxt] - turned_q[nxt]) ** 2).sum(1)
-    d = np.sqrt(((x[left] - q) ** 2).sum(1))
-    best = np.lexsort((ids[left], d))[:k]
-    return ids[left][best], d[best]
+def scan(q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, grid: Quantizer) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k nearest within one piece of each query that are not abandoned, as (query's place, id, distance), and how
+    many dimensions were read. ``bounds``: squared k-th distances known before, or infinity."""
+    turned, turned_q, out, read = x @ grid.rotation, q @ grid.rotation, [], 0
+    for at in range(0, len(q), max(1, PAIRS // max(1, len(x)))):
+        some = slice(at, at + max(1, PAIRS // max(1, len(x))))
+        part = ((turned[None, :, :BLOCK] - turned_q[some, None, :BLOCK]) ** 2).sum(2)
+        bound = bounds[some].copy()
+        if len(x) > k and grid.limits:  # the present k-th distance is at most that of any k candidates
+            look = np.argpartition(part, k - 1, axis=1)[:, :k]
+            bound = np.minimum(bound, ((x[look] - q[some][:, None]) ** 2).sum(2).max(1))
+        qi, ci = np.nonzero(np.ones(part.shape, bool))
+        part = part.ravel()
+        read += len(qi) * min(BLOCK, x.shape[1])
+        for i, limit in enumerate(grid.limits):
+            keep = part <= bound[qi] * limit * (1 + 1e-9) + 1e-12
+            qi, ci, part = qi[keep], ci[keep], part[keep]
+            nxt = slice((i + 1) * BLOCK, min((i + 2) * BLOCK, x.shape[1]))
+            part = part + ((turned[ci, nxt] - turned_q[some][qi, nxt]) ** 2).sum(1)
+            read += len(qi) * (nxt.stop - nxt.start)
+        keep = part <= bound[qi] * (1 + 1e-9) + 1e-12
+        qi, ci = qi[keep], ci[keep]
+        d = np.sqrt(((x[ci] - q[some][qi]) ** 2).sum(1))
+        best = np.lexsort((ids[ci], d, qi))
+        qi, ci, d = qi[best], ci[best], d[best]
+        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        out.append((qi[rank < k] + at, ids[ci][rank < k], d[rank < k]))
+    return *(np.concatenate(c) for c in zip(*out, strict=True)), read
 
 
 def _scanned(dealt: DataFrame, probes: DataFrame, shared, k: int) -> DataFrame:
-    """(rep, vec_id, score): the k nearest of each (rep, q, list) within the pieces of (vec_id, v, list)."""
+    """(rep, vec_id, score): the k nearest of each (rep, q, bound, list) within the pieces of (vec_id, v, list)."""
     dim = shared.value.dim
     size = lambda d, per, name: d.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
     cuts = size(dealt, PIECE, "pieces").join(size(probes, PART, "parts"), "list")
@@ -138,21 +158,15 @@ def _scanned(dealt: DataFrame, probes: DataFrame, shared, k: int) -> DataFrame:
         cuts = F.broadcast(cuts)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    asked = probes.join(cuts, "list").select("rep", "q", "list", own("rep", "parts").alias("part"), every("pieces").alias("piece"))
+    asked = probes.join(cuts, "list").select("rep", "q", "bound", "list", own("rep", "parts").alias("part"), every("pieces").alias("piece"))
     held = dealt.join(cuts, "list").select("vec_id", "v", "list", own("vec_id", "pieces").alias("piece"), every("parts").alias("part"))
 
     def work(held: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[str, int, float]] = []
+        reps, ids, d = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0)
         if held.num_rows and asked.num_rows:
-            turn = shared.value.rotation
-            ids, x = np.asarray(held["vec_id"], np.int64), _matrix(held["v"], dim)
-            reps, qs = asked["rep"].to_pylist(), _matrix(asked["q"], dim)
-            turned, turned_q = x @ turn, qs @ turn
-            for i, r in enumerate(reps):
-                found, d = scan(qs[i], turned_q[i], ids, x, turned, k)
-                out += zip([r] * len(found), found.tolist(), d.tolist(), strict=True)
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"rep": pa.array(cols[0], pa.string()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+            place, ids, d, _ = scan(_matrix(asked["q"], dim), np.asarray(asked["bound"], float), np.asarray(held["vec_id"], np.int64), _matrix(held["v"], dim), k, shared.value)
+            reps = asked["rep"].combine_chunks().take(pa.array(place))
+        return pa.table({"rep": reps, "vec_id": pa.array(ids, pa.int64()), "score": pa.array(d, pa.float64())})
 
     met = held.groupBy("list", "piece", "part").cogroup(asked.groupBy("list", "piece", "part")).applyInArrow(work, "rep string, vec_id long, score double")
     return _least(met, "rep", k)
@@ -172,8 +186,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, coarse: in
     dim, total = int(sizes.d), int(sizes.n)
     rows = valid(vectors, dim)
     drawn = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id", "v").limit(SAMPLE).select("v").toArrow()  # SAMPLE rows
-    grid = Quantizer(_matrix(drawn["v"], dim), max(1, int(np.sqrt(total))), coarse)
-    shared, n_probes = spark.sparkContext.broadcast(grid), grid.probes  # 2 * COARSE centres and parts at most up to 2^48 vectors
+    grid = Quantizer(_matrix(drawn["v"], dim), max(1, int(2 * np.sqrt(total))), coarse)
+    shared = spark.sparkContext.broadcast(grid)  # 2 * COARSE centres and parts at most up to 2^48 vectors
 
     def deal(batches):
         for b in batches:
@@ -183,7 +197,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, coarse: in
     def probe(batches):
         for b in batches:
             if b.num_rows:
-                near = shared.value.order(_matrix(b.column(1), dim), n_probes)
+                near = shared.value.order(_matrix(b.column(1), dim), shared.value.probes)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], names=["rep", "q", "lists"])
 
     same = Window.partitionBy("v").orderBy("vec_id")
@@ -192,12 +206,18 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, coarse: in
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     asked = materialize(asked.withColumn("rep", F.md5(F.concat_ws(",", F.col("q").cast("array<string>")))), "ann-queries")
     reps = asked.groupBy("rep").agg(F.any_value("q").alias("q"))
-    probes = materialize(reps.mapInArrow(probe, "rep string, q array<double>, lists array<long>").select("rep", "q", F.explode("lists").alias("list")), "ann-probes")
-    found = materialize(_scanned(dealt, probes, shared, k + 1).select("rep", "vec_id", "score"), "ann-found")
+    probes = materialize(reps.mapInArrow(probe, "rep string, q array<double>, lists array<long>").select("rep", "q", F.posexplode("lists").alias("near", "list")), "ann-probes")
+    never = F.lit(float("inf"))
+    near = probes.where(F.col("near") < grid.first).select("rep", "q", "list", never.alias("bound"))
+    first = materialize(_scanned(dealt, near, shared, k + 1).select("rep", "vec_id", "score", "rank"), "ann-first")
+    bounds = first.where(F.col("rank") == k + 1).select("rep", (F.col("score") * F.col("score")).alias("bound"))
+    rest = probes.where(F.col("near") >= grid.first).join(bounds, "rep", "left").withColumn("bound", F.coalesce("bound", never))
+    found = first.select("rep", "vec_id", "score").union(_scanned(dealt, rest, shared, k + 1).select("rep", "vec_id", "score"))
+    found = materialize(_least(found, "rep", k + 1).select("rep", "vec_id", "score"), "ann-found")
     full = found.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k + 1, dealt.count()))
     short = materialize(reps.join(full, "rep", "left_anti"), "ann-short")
     if not short.isEmpty():  # few lists' worth of vectors near: all lists
-        again = _scanned(dealt, short.select("rep", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.lists - 1).cast("long"))).alias("list")), shared, k + 1)
+        again = _scanned(dealt, short.select("rep", "q", never.alias("bound"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid.lists - 1).cast("long"))).alias("list")), shared, k + 1)
         found = found.join(short.select("rep"), "rep", "left_anti").union(again.select("rep", "vec_id", "score"))
     salts = asked.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("salts"))
     told = found.join(salts, "rep").select("rep", "vec_id", "score", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))

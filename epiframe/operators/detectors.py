@@ -97,7 +97,7 @@ def signal_integrity(signals: DataFrame, episodes: DataFrame, fps: float, requir
 
 #: Detectors by name; others can be added, as functions of (frames, episodes, fps) to findings.
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame, float], DataFrame]] = {
-    "signal_integrity": integrity,
+    "signal_integrity": lambda f, e, fps: signal_integrity(f.select("episode_index", F.lit("action").alias("signal_key"), "frame_index", F.array(F.col("value").cast("double")).alias("value")), e, fps).select(*COLUMNS),
     "motion": lambda f, e, fps: jitter(f, fps).unionByName(stationary(f, fps)).unionByName(near_zero(f)),
     "gripper": lambda f, e, fps: chatter(f, fps).unionByName(regrasp(f, fps)),
 }
@@ -110,3 +110,23 @@ def scan(frames: DataFrame, episodes: DataFrame, fps: float, names: tuple[str, .
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+def per_dimension(name: str, signal: str = "action") -> Callable[[DataFrame, DataFrame, float], DataFrame]:
+    """A detector of plain signals as one of vector signals (episode_index, signal_key, frame_index, value): each
+    dimension is looked at alone, and equal findings of several are one."""
+
+    def run(signals: DataFrame, episodes: DataFrame, fps: float) -> DataFrame:
+        rows = signals.where(F.col("signal_key") == signal).select("episode_index", "frame_index", F.posexplode("value").alias("dim", "value"))
+        rows = rows.select(F.struct("episode_index", "dim").alias("episode_index"), "frame_index", "value")
+        return DETECTORS[name](rows, episodes, fps).withColumn("episode_index", F.col("episode_index.episode_index")).distinct()
+
+    return run
+
+
+#: Detectors of vector signals, with their weight in the coverage.
+VECTOR_DETECTORS: dict[str, tuple[Callable[[DataFrame, DataFrame, float], DataFrame], float]] = {
+    "signal_integrity": (lambda s, e, fps: signal_integrity(s, e, fps).select(*COLUMNS), 1.0),
+    "motion": (per_dimension("motion"), 1.0),
+    "gripper": (per_dimension("gripper"), 1.0),
+}

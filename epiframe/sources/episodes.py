@@ -155,10 +155,12 @@ def data_files(spark: SparkSession, path: str, episode_indices: list[int] | None
     return [f"{path}/data/chunk-{r.c:03d}/file-{r.f:03d}.parquet" for r in at.collect()] or whole  # files of a stated selection
 
 
-def frames(spark: SparkSession, path: str, episode_indices: list[int] | None = None, keys: list[str] | None = None, merge_schema: bool = False) -> DataFrame:
+def frames(spark: SparkSession, path: str, episode_indices: list[int] | None = None, keys: list[str] | None = None, merge_schema: bool = False, errors: bool = False) -> DataFrame:
     """Frame rows with their index columns and series. Default series start with ``action`` or
-    ``observation.state``; named ones match exactly in version 2 and by beginning in version 3."""
-    d = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", str(merge_schema).lower()).parquet(*data_files(spark, path, episode_indices))
+    ``observation.state``; named ones match exactly in version 2 and by beginning in version 3.
+    With ``errors`` files that are broken or gone give no rows."""
+    lenient = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"} if errors else {}
+    d = spark.read.options(recursiveFileLookup="true", mergeSchema=str(merge_schema or errors).lower(), **lenient).parquet(*data_files(spark, path, episode_indices))
     exact = detect_format(spark, path) == V2
     wanted = tuple(keys) if keys else ("action", "observation.state")
     match = (lambda c: c in wanted) if keys and exact else (lambda c: c.startswith(wanted))

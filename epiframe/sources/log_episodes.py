@@ -58,27 +58,28 @@ def task_name(path: str) -> str:
     return next((n for n in reversed(names) if not n.isdigit()), names[-1] if names else "")
 
 
-def summary(spark: SparkSession, path: str) -> DataFrame:
-    """Topics of each file with their kind, from the footers."""
+def summary(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """Topics of each file with their kind, from the footers; with ``errors`` files that cannot be read have none."""
     spark.dataSource.register(MessageLogSummarySource)
     t, n = F.col("topic"), F.col("schema_name")
-    return spark.read.format("message_log_summary").load(path).withColumns({"image": is_image_topic(t, n), "joint": is_joint_topic(t, n)})
+    return spark.read.format("message_log_summary").options(**({"errors": "rows"} if errors else {})).load(path).withColumns({"image": is_image_topic(t, n), "joint": is_joint_topic(t, n)})
 
 
-def messages(spark: SparkSession, path: str, topics: list[str] | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
+def messages(spark: SparkSession, path: str, topics: list[str] | None = None, since: int | None = None, until: int | None = None, errors: bool = False) -> DataFrame:
     spark.dataSource.register(MessageLogSource)
-    told = {"topics": ",".join(topics) if topics else None, "since": since, "until": until}
+    told = {"topics": ",".join(topics) if topics else None, "since": since, "until": until, "errors": "rows" if errors else None}
     return spark.read.format("message_log").options(**{k: v for k, v in told.items() if v is not None}).load(path)
 
 
-def episodes(spark: SparkSession, path: str, gap_s: float = GAP_S) -> DataFrame:
+def episodes(spark: SparkSession, path: str, gap_s: float = GAP_S, errors: bool = False) -> DataFrame:
     """(episode_index, length, duration, tasks, cameras, file, start, end). Of several files each is an episode: its
     length is the most messages of an image topic, or where it has none all messages. A single file is split at gaps of
-    its anchor topic, whose messages make the length; a file without messages is one episode of length 0."""
+    its anchor topic, whose messages make the length; a file without messages is one episode of length 0. With
+    ``errors`` so is a file that cannot be read, and chunks that cannot be count for nothing."""
     files = log_files(path)
     if not files:
         raise ValueError(f"{path} has no message logs")
-    topics = summary(spark, path)
+    topics = summary(spark, path, errors)
     cameras = F.array_sort(F.collect_set(F.when(F.col("image"), topic_key(F.col("topic")))))
     own = topics.groupBy("file").agg(F.max(F.when(F.col("image"), F.col("messages"))).alias("images"), F.sum("messages").alias("all"), F.min("start_time").alias("start"), F.max("end_time").alias("end"), cameras.alias("cameras"))
     at = spark.createDataFrame(list(enumerate(files)), "episode_index long, file string")
@@ -90,7 +91,7 @@ def episodes(spark: SparkSession, path: str, gap_s: float = GAP_S) -> DataFrame:
         if anchor is None:
             e = numbers.withColumn("length", F.lit(0))
         else:
-            parts = gap_episodes(messages(spark, path, [anchor.topic]), ["file"], "log_time", int(gap_s * 1e9))
+            parts = gap_episodes(messages(spark, path, [anchor.topic], errors=errors).where("error is null"), ["file"], "log_time", int(gap_s * 1e9))
             e = parts.join(numbers.select("file", "cameras"), "file").withColumn("episode_index", F.col("segment"))
     tasks = F.array(F.lit(task_name(path)))
     duration = F.coalesce(F.greatest(F.lit(0.0), (F.col("end") - F.col("start")) / 1e9), F.lit(0.0))
@@ -103,26 +104,36 @@ def frame_rate(episode_rows: DataFrame) -> float:
     return float(rates or 0.0) if files != 1 else (n - 1) / span if n > 1 and span > 0 else 0.0
 
 
-def labelled(spark: SparkSession, path: str, episode_rows: DataFrame, topics: list[str] | None = None) -> DataFrame:
+def labelled(spark: SparkSession, path: str, episode_rows: DataFrame, topics: list[str] | None = None, errors: bool = False) -> DataFrame:
     """Messages of the episodes, with their ``episode_index``; what lies outside of all windows is not decoded."""
     since, until = episode_rows.agg(F.min("start"), F.max("end")).first()
     windows = episode_rows.select("episode_index", "file", "start", "end")
-    return in_windows(messages(spark, path, topics, since, until), windows, ["file"], "log_time").drop("start", "end")
+    return in_windows(messages(spark, path, topics, since, until, errors).where("error is null"), windows, ["file"], "log_time").drop("start", "end", "error")
 
 
-def series(spark: SparkSession, path: str, episode_indices: list[int] | None = None, keys: list[str] | None = None) -> DataFrame:
+def failures(spark: SparkSession, path: str, episode_rows: DataFrame) -> DataFrame:
+    """(episode_index, error) of what cannot be read: chunks by the episode that their first time lies in, else by the
+    episode before it, and files."""
+    bad = messages(spark, path, errors=True).where("error is not null").select("file", "log_time", "error")
+    e = episode_rows.select("episode_index", "file", "start")
+    first = e.groupBy("file").agg(F.min_by("episode_index", "start").alias("__first"))
+    met = bad.join(e, "file").groupBy("file", "log_time", "error").agg(F.max_by("episode_index", F.when(F.col("start") <= F.col("log_time"), F.col("start"))).alias("episode_index"))
+    return met.join(first, "file").select(F.coalesce("episode_index", "__first").alias("episode_index"), "error")
+
+
+def series(spark: SparkSession, path: str, episode_indices: list[int] | None = None, keys: list[str] | None = None, errors: bool = False) -> DataFrame:
     """(episode_index, frame_index, <series>...): vectors of the joint topics by their order of time. Poses of all pose
     topics, side by side, are ``action``, up to the shortest; the first two are also ``eef.<topic>``. A topic of plain
     numbers is ``action`` where its name says so and that is free, else ``observation.state``, else by its name."""
     from epiframe.functions.payloads import decode_vector
 
-    e = episodes(spark, path)
+    e = episodes(spark, path, errors=errors)
     e = e.where(F.col("episode_index").isin(episode_indices)) if episode_indices is not None else e
     pose = F.lower("topic").contains("pose") | F.lower(F.coalesce("schema_name", F.lit(""))).contains("poseinframe")
-    joint = sorted(summary(spark, path).where("joint").select("topic", pose.alias("pose")).distinct().collect())  # one row a topic
+    joint = sorted(summary(spark, path, errors).where("joint").select("topic", pose.alias("pose")).distinct().collect())  # one row a topic
     if not joint:
         return e.select("episode_index").limit(0).withColumn("frame_index", F.lit(0).cast("long"))
-    rows = labelled(spark, path, e, [r.topic for r in joint])
+    rows = labelled(spark, path, e, [r.topic for r in joint], errors)
     rows = rows.withColumn("value", decode_vector(F.col("data"), F.when(F.lower("topic").contains("pose"), "poseinframe").otherwise(F.col("schema_name")))).where("value is not null")
     order = Window.partitionBy("episode_index", "topic").orderBy("log_time", "sequence")
     rows = rows.select("episode_index", "topic", "value", (F.row_number().over(order) - 1).cast("long").alias("frame_index"))

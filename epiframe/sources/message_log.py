@@ -2,7 +2,8 @@
 
 A file is split at its chunk index, so that a partition reads about ``splitBytes`` of it; a file without an index is one
 partition. Records are read one after another, never a whole file. The options ``topics`` (comma-separated), ``since``
-and ``until`` (log times) keep other records from being decoded. They are options and not pushed filters, because Spark
+and ``until`` (log times) keep other records from being decoded; with ``errors`` set to ``rows`` what cannot be read
+gives rows whose ``error`` tells why. They are options and not pushed filters, because Spark
 4.1 keeps the filters that a Python reader has taken for later queries of the same DataFrame. The container is a magic
 number, then records of an opcode byte, a 64-bit length and a body; chunks hold further records, plain or compressed,
 and the summary before the footer repeats schemas and channels and tells counts and chunks.
@@ -32,7 +33,7 @@ HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, STA
 #: The footer's record and the closing magic number.
 TAIL = 9 + 20 + len(MAGIC)
 
-COLUMNS = "file string, topic string, schema_name string, schema_encoding string, message_encoding string, sequence long, log_time long, publish_time long, data binary"
+COLUMNS = "file string, topic string, schema_name string, schema_encoding string, message_encoding string, sequence long, log_time long, publish_time long, data binary, error string"
 SUMMARY = "file string, topic string, schema_name string, message_encoding string, messages long, start_time long, end_time long, indexed boolean"
 
 SPLIT_BYTES = 64 << 20
@@ -164,10 +165,22 @@ def splits(path: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], size], strict=True))
 
 
-def messages(path: str, topics: frozenset[str] | None = None, since: int | None = None, until: int | None = None, span: tuple[int, int] | None = None) -> Iterator[tuple]:
-    """Rows of COLUMNS in the order of the file, of the whole of it or of one of its ``splits``. Chunks out of the time
-    window are not inflated where the summary names all channels; else they may define what later ones use."""
-    f, size = _open(path)
+def messages(path: str, topics: frozenset[str] | None = None, since: int | None = None, until: int | None = None, span: tuple[int, int] | None = None, errors: bool = False) -> Iterator[tuple]:
+    """Rows of COLUMNS but the last in the order of the file, of the whole of it or of one of its ``splits``. Chunks out
+    of the time window are not inflated where the summary names all channels; else they may define what later ones use.
+    With ``errors`` a chunk or file that cannot be read gives a row without a topic, at the chunk's first time, whose
+    tenth value tells why, and reading goes on behind it."""
+
+    def failed(e: Exception, at: int | None) -> tuple:
+        return path, None, None, None, None, None, at, None, None, f"{type(e).__name__}: {e}"
+
+    try:
+        f, size = _open(path)
+    except (ValueError, OSError) as e:
+        if not errors:
+            raise
+        yield failed(e, None)
+        return
     with f:
         known = read_summary(f, size)
 
@@ -186,7 +199,13 @@ def messages(path: str, topics: frozenset[str] | None = None, since: int | None
                     if not known.whole or ((since is None or last >= since) and (until is None or first <= until)):
                         kind, at = _string(b, 28)
                         n = struct.unpack_from("<Q", b, at)[0]
-                        yield from walk(_records(_inflate(kind, b[at + 8 : at + 8 + n], n_plain)))
+                        try:
+                            inner = list(walk(_records(_inflate(kind, b[at + 8 : at + 8 + n], n_plain))))  # a chunk
+                        except (ValueError, OSError, KeyError, struct.error) as e:
+                            if not errors:
+                                raise
+                            inner = [failed(e, first)]
+                        yield from inner
                 elif op in (DATA_END, FOOTER):
                     return
 
@@ -340,15 +359,25 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, options):
         self.path = path
+        self.errors = options.get("errors") == "rows"
         topics, number = options.get("topics"), lambda k: int(options[k]) if k in options else None
         self.topics = frozenset(topics.split(",")) if topics else None
         self.since, self.until, self.split_bytes = number("since"), number("until"), number("splitBytes") or SPLIT_BYTES
 
     def partitions(self):
-        return [_Part(p, s) for p in log_files(self.path) for s in splits(p, self.split_bytes)]
+        return [_Part(p, s) for p in log_files(self.path) for s in self._splits(p)]
+
+    def _splits(self, path):
+        try:
+            return splits(path, self.split_bytes)
+        except (ValueError, OSError):
+            if not self.errors:
+                raise
+            return [(0, 0)]
 
     def read(self, partition):
-        yield from messages(partition.path, self.topics, self.since, self.until, partition.span)
+        for r in messages(partition.path, self.topics, self.since, self.until, partition.span, self.errors):
+            yield r if len(r) == 10 else (*r, None)
 
 
 class _Files(InputPartition):
@@ -357,8 +386,8 @@ class _Files(InputPartition):
 
 
 class _SummaryReader(DataSourceReader):
-    def __init__(self, path: str, together: int):
-        self.path, self.together = path, together
+    def __init__(self, path: str, together: int, errors: bool):
+        self.path, self.together, self.errors = path, together, errors
 
     def partitions(self):
         files = log_files(self.path)
@@ -366,7 +395,13 @@ class _SummaryReader(DataSourceReader):
 
     def read(self, partition):
         for p in partition.paths:
-            yield from summary_rows(p)
+            try:
+                rows = list(summary_rows(p))  # one a topic
+            except (ValueError, OSError, KeyError, struct.error):
+                if not self.errors:
+                    raise
+                rows = []
+            yield from rows
 
 
 class _Written(WriterCommitMessage):
@@ -428,4 +463,4 @@ class MessageLogSummarySource(DataSource):
         return SUMMARY
 
     def reader(self, schema):
-        return _SummaryReader(self.options["path"], int(self.options.get("filesPerTask", "16")))
+        return _SummaryReader(self.options["path"], int(self.options.get("filesPerTask", "16")), self.options.get("errors") == "rows")

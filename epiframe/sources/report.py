@@ -16,8 +16,10 @@ def write_table(df: DataFrame, report: str, name: str, scan_id: str) -> None:
     d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{report}/{name}")
 
 
-def read_table(spark: SparkSession, report: str, name: str, scan_id: str | None = None) -> DataFrame:
-    d = spark.read.parquet(f"{report}/{name}").withColumn("scan_id", F.col("scan_id").cast("string"))
+def read_table(spark: SparkSession, report: str, name: str, scan_id: str | None = None, schema: str | None = None) -> DataFrame:
+    """A table's rows, of one scan or all; with a schema, tables that no scan has rows of can be read too."""
+    reader = spark.read.schema(f"{schema}, scan_id string") if schema else spark.read
+    d = reader.parquet(f"{report}/{name}").withColumn("scan_id", F.col("scan_id").cast("string"))
     return d if scan_id is None else d.where(F.col("scan_id") == scan_id)
 
 

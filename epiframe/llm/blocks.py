@@ -29,11 +29,9 @@ SECTION_BYTES = 32_000_000
 
 
 def sections(docs: DataFrame) -> int:
-    """As many sections as the session has shuffle partitions, and as the size of the input asks for. The size is the
-    planner's (of files: their length); where it has none, the texts are measured."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    """As many sections as the session has shuffle partitions, and as the bytes of the texts ask for. They are counted:
+    the planner's estimate multiplies over joins. What makes the input, a join say, therefore runs once more."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SECTION_BYTES))
 
 

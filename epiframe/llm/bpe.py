@@ -3,7 +3,7 @@
 Encoding: texts are cut into pre-tokens; each block of documents keeps its pre-tokens' positions as code
 sequences and sends its distinct pre-tokens to their sections, where each distinct one is encoded once (again only
 if a section has more than ``REMEMBERED`` of them); the ids are joined back to the block and put together by
-position. Decoding looks ids up in the table of token bytes, a broadcast hash join without the rows. The vocabulary
+position. Decoding looks ids up in the broadcast table of token bytes, in place of joining a row for each id. The vocabulary
 is read from a rank file whose path is a parameter, and broadcast (its size is the file's: some 50,000 tokens, under
 2 MB).
 
@@ -163,7 +163,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``bytes``, what the ids stand for, to rows with ``ids``: a join with the broadcast token table."""
+    """Adds ``bytes``, what the ids stand for, to rows with ``ids``, by looking them up in the broadcast table of token
+    bytes, which is of the vocabulary's size. ``decode_by_rows`` is the join of ids with that table as rows, and gives the
+    same; it shuffles a row for each id, and so goes beyond the disk that is allowed for large tables."""
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
     of_token = encoded.sparkSession.sparkContext.broadcast([b for b, _ in sorted(ranks.items(), key=lambda x: x[1])])
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from epiframe.operators.tables import numbered
 
-METRICS = "episode_index long, camera_key string, frame_index long, mean_luma double, p10 double, p50 double, p90 double, blur double, thumb array<float>"
+METRICS = "episode_index long, camera_key string, frame_index long, mean_luma double, p10 double, p50 double, p90 double, dark double, bright double, blur double, thumb array<float>"
+#: Luma up to which, and from which on, a pixel is clipped.
+CLIPPED = (5.0, 250.0)
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:
@@ -44,8 +46,8 @@ def frame_metrics(frames: DataFrame, width: int = 32) -> DataFrame:
             for r in b.to_pylist():
                 gray = luma(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], r["channels"]))
                 q = np.percentile(gray, [10, 50, 90])
-                out.append((r["episode_index"], r["camera_key"], r["frame_index"], float(gray.mean()), *map(float, q), laplacian_variance(gray), thumbnail(gray, width).astype(np.float32).ravel().tolist()))
-            kinds = (pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 5, pa.list_(pa.float32()))
+                out.append((r["episode_index"], r["camera_key"], r["frame_index"], float(gray.mean()), *map(float, q), float((gray <= CLIPPED[0]).mean()), float((gray >= CLIPPED[1]).mean()), laplacian_variance(gray), thumbnail(gray, width).astype(np.float32).ravel().tolist()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 7, pa.list_(pa.float32()))
             names = [f.split()[0] for f in METRICS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
@@ -63,7 +65,7 @@ def with_change(metrics: DataFrame) -> DataFrame:
 
 def visual_flags(metrics: DataFrame, dark: float = 40.0, bright: float = 245.0, blur: float = 35.0, frozen: float = 0.75) -> DataFrame:
     """Per frame: dark, overexposed, blurred, and frozen (no change to speak of)."""
-    return with_change(metrics).withColumns({"dark": F.col("mean_luma") < dark, "overexposed": F.col("mean_luma") > bright, "blurred": F.col("blur") < blur, "frozen": F.coalesce(F.col("change") <= frozen, F.lit(False))})
+    return with_change(metrics).drop("dark", "bright").withColumns({"dark": F.col("mean_luma") < dark, "overexposed": F.col("mean_luma") > bright, "blurred": F.col("blur") < blur, "frozen": F.coalesce(F.col("change") <= frozen, F.lit(False))})
 
 
 def image_folder(spark: SparkSession, path: str, camera: str, episode: int = 0) -> DataFrame:

@@ -45,18 +45,21 @@ def freeze_candidates(metrics: DataFrame, fps: float) -> DataFrame:
 
 def motion_evidence(spans: DataFrame, signals: DataFrame, fps: float) -> DataFrame:
     """Adds ``motion``, the largest share of a dimension's own 1 to 99 % range that it covers within the span; null
-    where the episode has no finite signal. ``signals``: episode_index, dim, frame_index, value."""
-    v = F.col("value").cast("double")
+    where the episode has no finite signal. Each signal is judged alone: one that is not finite leaves the others be.
+    ``signals``: episode_index, dim, frame_index, value, and signal_key where there are several."""
+    signals = signals if "signal_key" in signals.columns else signals.withColumn("signal_key", F.lit(""))
+    own, v = ["episode_index", "signal_key"], F.col("value").cast("double")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    whole = signals.groupBy("episode_index", "dim").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.max(bad).alias("bad"), F.count(F.lit(1)).alias("n"))
-    usable = whole.groupBy("episode_index").agg((~F.max("bad") & (F.min("n") >= 2)).alias("usable")).where("usable")
-    ranges = whole.join(usable, "episode_index", "left_semi").select("episode_index", "dim", (F.col("q")[1] - F.col("q")[0]).alias("range"))
+    whole = signals.groupBy(*own, "dim").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.max(bad).alias("bad"), F.count(F.lit(1)).alias("n"))
+    usable = whole.groupBy(*own).agg((~F.max("bad") & (F.min("n") >= 2)).alias("usable")).where("usable")
+    ranges = whole.join(usable, own, "left_semi").select(*own, "dim", (F.col("q")[1] - F.col("q")[0]).alias("range"))
     numbered = spans.withColumns({"__a": F.floor(F.col("start_s") * fps), "__b": F.ceil(F.col("end_s") * fps)})
-    met = numbered.join(signals.join(ranges, ["episode_index", "dim"]), "episode_index").where("frame_index between __a and __b")
-    local = met.groupBy("episode_index", "camera_key", "start_s", "end_s", "dim").agg((F.max("value") - F.min("value")).alias("span"), F.first("range").alias("range"))
+    met = numbered.join(signals.join(ranges, [*own, "dim"]), "episode_index").where("frame_index between __a and __b")
+    local = met.groupBy(*own, "camera_key", "start_s", "end_s", "dim").agg((F.max("value") - F.min("value")).alias("span"), F.first("range").alias("range"))
     share = F.max(F.when(F.col("range") > 2.220446049250313e-16, F.col("span") / F.col("range")))
     found = local.groupBy("episode_index", "camera_key", "start_s", "end_s").agg(F.coalesce(share, F.lit(0.0)).alias("motion"))
-    return spans.join(found, ["episode_index", "camera_key", "start_s", "end_s"], "left").join(usable.withColumnRenamed("usable", "__seen"), "episode_index", "left").withColumn("motion", F.coalesce("motion", F.when(F.col("__seen"), F.lit(0.0)))).drop("__seen")
+    seen = usable.select("episode_index", F.col("usable").alias("__seen")).distinct()
+    return spans.join(found, ["episode_index", "camera_key", "start_s", "end_s"], "left").join(seen, "episode_index", "left").withColumn("motion", F.coalesce("motion", F.when(F.col("__seen"), F.lit(0.0)))).drop("__seen")
 
 
 def freeze_findings(metrics: DataFrame, signals: DataFrame, fps: float, signal_fps: float) -> DataFrame:
@@ -83,10 +86,11 @@ def camera_findings(metrics: DataFrame, expected: DataFrame, least: float = 0.9)
     return d.select("episode_index", "camera_key", code.alias("issue_code")).where("issue_code is not null")
 
 
-def luma_summary(metrics: DataFrame, low: float = 5.0, high: float = 250.0) -> DataFrame:
-    """Per episode: medians over cameras of each camera's median luma, and the share of dark and bright clipped frames."""
-    clip = lambda c: F.count_if(c) / F.count(F.lit(1))
-    cameras = metrics.groupBy("episode_index", "camera_key").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("p10", "p50", "p90")], clip(F.col("mean_luma") <= low).alias("dark_ratio"), clip(F.col("mean_luma") >= high).alias("bright_ratio"))
+def luma_summary(metrics: DataFrame) -> DataFrame:
+    """Per episode: medians over cameras of each camera's median luma, and the largest share of dark and of bright clipped
+    pixels of a camera (of all pixels of its frames, which are of one size)."""
+    shares = [F.avg(c).alias(f"{c}_ratio") for c in ("dark", "bright")]
+    cameras = metrics.groupBy("episode_index", "camera_key").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("p10", "p50", "p90")], *shares)
     return cameras.groupBy("episode_index").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("p10", "p50", "p90")], F.max("dark_ratio").alias("dark_ratio"), F.max("bright_ratio").alias("bright_ratio"))
 
 

@@ -338,9 +338,10 @@ def tasks_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fidelity(source: str, target: str) -> str | None:
-    """What a conversion keeps: all within a format, nearly all between the Parquet layouts, else a part."""
+    """What a conversion keeps: all within a format, nearly all between the Parquet layouts, else a part; None where
+    nothing writes the target. Logs are only ever copied as logs."""
     known = (V2, V3, HDF5, MESSAGE_LOG)
-    if source not in known or target not in known:
+    if source not in known or (target not in WRITERS and not source == target == MESSAGE_LOG):
         return None
     return "full" if source == target else "high" if {source, target} == {V2, V3} else "partial"
 
@@ -351,6 +352,8 @@ WRITERS = {V2: write_v2, V3: write_v3}
 
 def convert(spark: SparkSession, source: str, target: str, to: str) -> None:
     """Copies a Parquet dataset into the layout ``to``."""
+    if to not in WRITERS:
+        raise ValueError(f"nothing writes {to}")
     info = read_info(spark, source)
     e = episodes(spark, source).select("episode_index", "tasks")
     WRITERS[to](frames(spark, source), target, float(info.get("fps") or 0), info.get("robot_type"), e)
@@ -364,6 +367,13 @@ def export(spark: SparkSession, source: str, target: str, selected: list[int], t
 
     kind = detect_format(spark, source)
     kept = sorted({int(i) for i in selected})
+    if fidelity(kind, to or kind) is None:
+        raise ValueError(f"nothing writes {kind} as {to or kind}")
+    if kind == MESSAGE_LOG:
+        from epiframe.sources import log_episodes
+
+        copied = sum(r.messages for r in log_episodes.subset(spark, source, kept, target).select("messages").collect())  # one row a log
+        return {"source": source, "source_format": kind, "target_format": kind, "fidelity": "full", "episodes": {str(a): b for b, a in enumerate(kept)}, "messages": copied}
     mapping = spark.createDataFrame(list(zip(kept, range(len(kept)), strict=True)), "episode_index long, new_index long")
     e = episodes(spark, source)
     gone = [r.episode_index for r in mapping.join(e, "episode_index", "left_anti").orderBy("episode_index").collect()]

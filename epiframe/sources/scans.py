@@ -154,7 +154,8 @@ def scan(spark: SparkSession, path: str, report: str, at: str, detectors: dict[s
     write_table(whole(parts), report, "findings", scan_id)
     write_table(whole(statuses), report, "episode_detectors", scan_id)
     scored = episodes.join(coverage(read_table(spark, report, "episode_detectors", scan_id)), "episode_index", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
-    write_table(score_episodes(scored, read_table(spark, report, "findings", scan_id, f"{FINDINGS}, detector_id string")), report, "episodes", scan_id)
+    scores = score_episodes(scored, read_table(spark, report, "findings", scan_id, f"{FINDINGS}, detector_id string"))
+    write_table(scores.withColumns({c: F.round(c, 3) for c in ("usable_ratio", "quality_score", "coverage")}), report, "episodes", scan_id)
     row = [(scan_id, "completed", dataset_id(path), fingerprint, configuration, at, total, total - n)]
     spark.createDataFrame(row, SCANS).coalesce(1).write.mode("append").parquet(f"{report}/scans")
     return scan_id

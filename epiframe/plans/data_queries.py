@@ -41,6 +41,16 @@ def merge_partial_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ST.merge_stats(parts, ["nation"]), ["nation"])
 
 
+@query("SELECT l_returnflag, count(l_extendedprice) AS count, TRUE AS within FROM lineitem GROUP BY 1")
+def sketched_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of return flags from sketches of their suppliers, and whether their ranks, counted over all lines, are
+    within the stated error (of sketches a quarter the size, so that chance does not decide)."""
+    lines = table(spark, d, "lineitem")
+    told = ST.merge_sketches(ST.value_sketches(lines, ["l_returnflag", "l_suppkey"], "l_extendedprice", 4 * ST.SKETCH_K), ["l_returnflag"])
+    errors = ST.quantile_errors(lines, ["l_returnflag"], "l_extendedprice", told)
+    return told.join(errors, "l_returnflag").select("l_returnflag", "count", (F.col("worst_error") <= ST.rank_error()).alias("within"))
+
+
 _LENGTHS = "n AS (SELECT episode_index, count(*) AS length FROM frames GROUP BY 1)"
 
 

@@ -216,16 +216,24 @@ def _vector_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in ("array<double>", "array<float>")]
 
 
+def long_vectors(d: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, series, dim, value) of all vector columns."""
+    each = F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"`{c}`").cast("array<double>").alias("v")) for c in _vector_columns(d)])
+    return d.select(*keys, F.explode(each).alias("__s")).select(*keys, "__s.series", F.posexplode("__s.v").alias("dim", "value"))
+
+
 def _with_stats(e: DataFrame, d: DataFrame) -> DataFrame:
-    """Episode rows with ``stats/<series>/<metric>`` arrays by dimension."""
-    from epiframe.operators.stats import vector_stats
-
-    for name in _vector_columns(d):
-        s = vector_stats(d, ["episode_index"], f"`{name}`").withColumn("count", F.col("count").cast("double"))
-        metrics = [c for c in s.columns if c not in ("episode_index", "dim")]
-        rows = s.groupBy("episode_index").agg(F.sort_array(F.collect_list(F.struct("dim", *metrics))).alias("x"))
-        e = e.join(rows.select("episode_index", *[F.col(f"x.{c}").alias(f"stats/{name}/{c}") for c in metrics]), "episode_index", "left")
-    return e
+    """Episode rows with ``stats/<series>/<metric>`` arrays by dimension; all series in one pass and one join."""
+    from epiframe.operators.stats import bounded_stats
+
+    names = _vector_columns(d)
+    if not names:
+        return e
+    s = bounded_stats(long_vectors(d, ["episode_index"]), ["episode_index", "series", "dim"], "value").withColumn("count", F.col("count").cast("double"))
+    metrics = [c for c in s.columns if c not in ("episode_index", "series", "dim")]
+    rows = s.groupBy("episode_index").agg(*[F.sort_array(F.collect_list(F.when(F.col("series") == n, F.struct("dim", *metrics)))).alias(f"x{i}") for i, n in enumerate(names)])
+    told = [F.when(F.size(f"x{i}") > 0, F.col(f"x{i}.{c}")).alias(f"stats/{n}/{c}") for i, n in enumerate(names) for c in metrics]
+    return e.join(rows.select("episode_index", *told), "episode_index", "left")
 
 
 def _info(version: str, kind: str, d: DataFrame, e: DataFrame, named: DataFrame, fps: float, robot_type: str | None) -> dict:

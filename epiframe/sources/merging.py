@@ -1,5 +1,5 @@
 """Datasets of one format merged into a new one, published at once: frames under new numbers, episode rows, tasks,
-statistics under the episodes' new numbers and those of the whole merged from them, labels, and a manifest.
+statistics and sketches under the episodes' new numbers and those of the whole merged from them, labels, and a manifest.
 
 Numbers come from the sources' episode rows (one row an episode is ordered as a whole); frames are read once, to be
 written. Statistics are never taken from frames that have some in their dataset's metadata.
@@ -21,9 +21,10 @@ from epiframe.operators.tables import rekey_stats
 from epiframe.sources import episodes as E
 from epiframe.sources import log_episodes as L
 from epiframe.sources import registry
+from epiframe.sources import sketches as K
 
 #: Metadata that is written anew; the first source's other files beside them are copied.
-OWN = {"info.json", "stats.json", "episodes", "episodes.jsonl", "episodes_stats.jsonl", "tasks", "tasks.jsonl", "tasks.parquet", "labels.jsonl", "export_manifest.json"}
+OWN = {"info.json", "stats.json", "episodes", "episodes.jsonl", "episodes_stats.jsonl", "tasks", "tasks.jsonl", "tasks.parquet", "labels.jsonl", "export_manifest.json", K.NAME}
 LABELS = ("labels.jsonl", "meta/labels.jsonl")
 
 
@@ -98,8 +99,9 @@ def vocabulary(spark: SparkSession, paths: list[str], episode_rows: DataFrame) -
     return named, own.join(named.withColumnRenamed("task_index", "new_task"), "task").select("source", "task_index", "new_task")
 
 
-def overall(stats: DataFrame) -> dict:
-    """Statistics of the whole by series, one list a metric; merged from those of episodes."""
+def overall(stats: DataFrame, sketches: DataFrame | None = None) -> dict:
+    """Statistics of the whole by series, one list a metric; merged from those of episodes. Quantiles are those of the
+    merged sketches wherever these have seen as many values as the statistics tell of."""
     arrays = {f.name for f in stats.schema.fields if f.dataType.simpleString() == "array<double>"}
     parts = []
     for series in sorted({c[len("stats/") :].rsplit("/", 1)[0] for c in arrays}):
@@ -111,7 +113,13 @@ def overall(stats: DataFrame) -> dict:
         parts.append(dims.select(F.lit(series).alias("series"), "dim", *[at(m).alias(m) for m in sorted(have)]))
     if not parts:
         return {}
-    rows = ST.merge_stats(union(parts), ["series", "dim"]).orderBy("series", "dim").collect()  # one a series and dimension
+    merged = ST.merge_stats(union(parts), ["series", "dim"])
+    if sketches is not None:
+        of = ST.merge_sketches(sketches, ["series", "dim"]).select("series", "dim", F.col("count").alias("__n"), F.struct(*ST.QUANTILES).alias("__q"))
+        estimate = lambda q: F.col(q) if q in merged.columns else F.lit(None).cast("double")
+        whole = F.col("__n") == F.col("count")
+        merged = merged.join(of, ["series", "dim"], "left").withColumns({q: F.when(whole, F.col(f"__q.{q}")).otherwise(estimate(q)) for q in ST.QUANTILES}).drop("__n", "__q")
+    rows = merged.orderBy("series", "dim").collect()  # one a series and dimension
     out: dict = {}
     for r in rows:
         for k, v in r.asDict().items():
@@ -173,7 +181,10 @@ def merge(spark: SparkSession, paths: list[str], target: str, labels: bool = Tru
         have = spark.read.option("recursiveFileLookup", "true").parquet(f"{s.path.toString()}/data").agg(F.count(F.lit(1)), F.count_distinct("index")).first()
         if tuple(have) != (manifest["total_frames"],) * 2:
             raise ValueError(f"{have[0]} frames and {have[1]} numbers for {manifest['total_frames']}")
-        s.write_text("meta/stats.json", json.dumps(overall(stats), indent=2))
+        seen = [K.read(spark, p) for p in paths]
+        if all(x is not None for x in seen):
+            K.write(with_source(seen).join(mapping.select("source", "episode_index", "new_episode"), ["source", "episode_index"]).drop("source", "episode_index").withColumnRenamed("new_episode", "episode_index"), s)
+        s.write_text("meta/stats.json", json.dumps(overall(stats, K.read(spark, s.path.toString())), indent=2))
         base = E.Store(spark, paths[0])
         for f in base.files("meta/*"):
             if (name := f.rstrip("/").rsplit("/", 1)[1]) not in OWN:

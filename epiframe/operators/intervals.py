@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 KEY = "episode_index"
 
 
+def dealt(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows by key in as many partitions as the session has for shuffles. Adaptive execution, which joins shuffled
+    partitions up to 64 MB (some 2 GB once ends and slices are sorted), leaves those asked for by number apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def mask_to_intervals(frames: DataFrame, mask: str, fps: float, minimum: float = 0.0, merge_gap: float = 0.0, context: float = 0.0, key: str = KEY, order: str = "frame_index") -> DataFrame:
     """(key, start_s, end_s): runs of true frames, short ones dropped first, then near ones merged, then padded and
     clipped to the episode."""
@@ -37,9 +43,10 @@ def union_duration(intervals: DataFrame, key: str = KEY) -> DataFrame:
 
 def sweep(intervals: DataFrame, key: str = KEY) -> DataFrame:
     """(key, left_s, right_s, weight): the episode's time cut at every end of an interval, with the largest weight
-    active in each slice (0 where none is). The overlap join is equal on the episode."""
+    active in each slice (0 where none is). The overlap join is equal on the episode. Equal ends give no slice, so they
+    need not be made distinct."""
     c = intervals.where((F.col("end_s") > F.col("start_s")) & (F.col("duration") > 0)).select(key, "duration", F.greatest(F.lit(0.0), "start_s").alias("a"), F.least("duration", "end_s").alias("b"), "weight")
-    points = c.select(key, F.explode(F.array(F.lit(0.0), F.col("duration"), F.col("a"), F.col("b"))).alias("left_s")).distinct()
+    points = c.select(key, F.explode(F.array(F.lit(0.0), F.col("duration"), F.col("a"), F.col("b"))).alias("left_s"))
     slices = points.withColumn("right_s", F.lead("left_s").over(Window.partitionBy(key).orderBy("left_s"))).where("right_s > left_s")
     met = slices.join(c.select(F.col(key).alias("__k"), "a", "b", "weight"), (F.col(key) == F.col("__k")) & (F.col("a") < F.col("right_s")) & (F.col("b") > F.col("left_s")), "left")
     return met.groupBy(key, "left_s", "right_s").agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"))

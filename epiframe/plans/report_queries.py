@@ -25,7 +25,7 @@ _OPEN = "op AS (SELECT f.* FROM findings f LEFT JOIN reviews r USING (finding_id
 
 
 def timed(spark: SparkSession, d: str) -> DataFrame:
-    return proxy.findings(spark, d).join(proxy.episodes(spark, d).select("episode_index", "duration"), "episode_index")
+    return I.dealt(proxy.findings(spark, d)).join(proxy.episodes(spark, d).select("episode_index", "duration"), "episode_index")
 
 
 @query(with_views(f"{_EF},\n{_CLIP},\n{_UNION.format(where='true')}\nSELECT episode_index, round(covered_s, 6) AS covered_s FROM un", "findings", "episodes"))

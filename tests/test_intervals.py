@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from epiframe.operators import intervals as I
+from epiframe.plans import registry
 
 SCHEMA = "episode_index long, start_s double, end_s double, duration double, weight double"
 
@@ -37,3 +39,23 @@ def test_union_with_repeated_intervals(spark, partitions):
         want[e] = want.get(e, 0.0) + 0.25
     got = I.union_duration(spark.createDataFrame(data, SCHEMA).repartition(partitions)).collect()
     assert {r.episode_index: r.covered_s for r in got} == want
+
+
+def test_sweep_with_repeated_intervals(spark):
+    data = rows(2)
+    want = {}
+    for (e, _), w in active(data).items():
+        want[e] = want.get(e, 0.0) + 0.25 * max(w)
+    s = I.sweep(spark.createDataFrame(data, SCHEMA)).collect()
+    got = {}
+    for r in s:
+        got[r.episode_index] = got.get(r.episode_index, 0.0) + (r.right_s - r.left_s) * r.weight
+    assert {e: v for e, v in got.items() if v} == {e: v for e, v in want.items() if v}
+    assert all(r.left_s < r.right_s for r in s) and len({(r.episode_index, r.left_s) for r in s}) == len(s)
+
+
+@pytest.mark.parametrize("name", ("overlap_sweep_penalty",))
+def test_episodes_stay_in_many_tasks(spark, name):
+    """Small shuffles are not joined into one task, whose rows grow a lot once they are cut."""
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

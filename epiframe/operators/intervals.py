@@ -55,7 +55,7 @@ def sweep(intervals: DataFrame, key: str = KEY) -> DataFrame:
 def partition(intervals: DataFrame, key: str = KEY, grid: float = 0.01) -> DataFrame:
     """(key, start_s, end_s): [0, duration] cut at the interval ends, rounded to the grid."""
     at = lambda c: F.rint(c / grid) * grid
-    points = intervals.select(key, F.explode(F.array(F.lit(0.0), F.col("duration"), F.greatest(F.lit(0.0), F.least("duration", "start_s")), F.greatest(F.lit(0.0), F.least("duration", "end_s")))).alias("p")).select(key, at(F.col("p")).alias("start_s")).distinct()
+    points = intervals.select(key, F.explode(F.array(F.lit(0.0), F.col("duration"), F.greatest(F.lit(0.0), F.least("duration", "start_s")), F.greatest(F.lit(0.0), F.least("duration", "end_s")))).alias("p")).select(key, at(F.col("p")).alias("start_s"))
     return points.withColumn("end_s", F.lead("start_s").over(Window.partitionBy(key).orderBy("start_s"))).where("end_s is not null and end_s - start_s > 0.005")
 
 

@@ -54,7 +54,16 @@ def test_sweep_with_repeated_intervals(spark):
     assert all(r.left_s < r.right_s for r in s) and len({(r.episode_index, r.left_s) for r in s}) == len(s)
 
 
-@pytest.mark.parametrize("name", ("overlap_sweep_penalty",))
+def test_partition_with_repeated_intervals(spark):
+    data = rows(3)
+    ends = {}
+    for e, a, b, d, _ in data:
+        ends.setdefault(e, set()).update((0.0, d, max(0.0, min(d, a)), max(0.0, min(d, b))))
+    want = sorted((e, x, y) for e, p in ends.items() for x, y in zip(sorted(p), sorted(p)[1:]))
+    assert sorted((r.episode_index, round(r.start_s, 2), round(r.end_s, 2)) for r in I.partition(spark.createDataFrame(data, SCHEMA)).collect()) == want
+
+
+@pytest.mark.parametrize("name", ("interval_partition", "overlap_sweep_penalty"))
 def test_episodes_stay_in_many_tasks(spark, name):
     """Small shuffles are not joined into one task, whose rows grow a lot once they are cut."""
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")

@@ -26,7 +26,7 @@ def score_episodes(episodes: DataFrame, findings: DataFrame) -> DataFrame:
     ``episodes``: episode_index, duration, coverage. ``findings``: episode_index, severity, confidence, start_s,
     end_s, hard_invalid.
     """
-    f = findings.join(episodes.select("episode_index", "duration"), "episode_index")
+    f = I.dealt(findings).join(episodes.select("episode_index", "duration"), "episode_index")
     timed = F.col("start_s").isNotNull() & F.col("end_s").isNotNull()
     bad = I.union_duration(f.where(F.col("severity").isin("error", "fatal") & timed))
     weighed = f.withColumn("weight", _by_severity(SEVERITY_WEIGHTS) * F.coalesce("confidence", F.lit(1.0)))

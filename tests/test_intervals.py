@@ -63,7 +63,7 @@ def test_partition_with_repeated_intervals(spark):
     assert sorted((r.episode_index, round(r.start_s, 2), round(r.end_s, 2)) for r in I.partition(spark.createDataFrame(data, SCHEMA)).collect()) == want
 
 
-@pytest.mark.parametrize("name", ("interval_partition", "overlap_sweep_penalty", "quality_score"))
+@pytest.mark.parametrize("name", ("auto_decision", "interval_partition", "overlap_sweep_penalty", "quality_score"))
 def test_episodes_stay_in_many_tasks(spark, name):
     """Small shuffles are not joined into one task, whose rows grow a lot once they are cut."""
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")

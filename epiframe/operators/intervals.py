@@ -41,14 +41,26 @@ def union_duration(intervals: DataFrame, key: str = KEY) -> DataFrame:
     return union(intervals, key).groupBy(key).agg(F.sum(F.col("end_s") - F.col("start_s")).alias("covered_s"))
 
 
-def sweep(intervals: DataFrame, key: str = KEY) -> DataFrame:
+def sweep(intervals: DataFrame, episodes: DataFrame | None = None, key: str = KEY) -> DataFrame:
     """(key, left_s, right_s, weight): the episode's time cut at every end of an interval, with the largest weight
     active in each slice (0 where none is). The overlap join is equal on the episode. Equal ends give no slice, so they
-    need not be made distinct."""
-    c = intervals.where((F.col("end_s") > F.col("start_s")) & (F.col("duration") > 0)).select(key, "duration", F.greatest(F.lit(0.0), "start_s").alias("a"), F.least("duration", "end_s").alias("b"), "weight")
-    points = c.select(key, F.explode(F.array(F.lit(0.0), F.col("duration"), F.col("a"), F.col("b"))).alias("left_s"))
-    slices = points.withColumn("right_s", F.lead("left_s").over(Window.partitionBy(key).orderBy("left_s"))).where("right_s > left_s")
-    met = slices.join(c.select(F.col(key).alias("__k"), "a", "b", "weight"), (F.col(key) == F.col("__k")) & (F.col("a") < F.col("right_s")) & (F.col("b") > F.col("left_s")), "left")
+    need not be made distinct.
+
+    ``episodes`` (key, duration) may stand apart: then intervals are dealt by episode without a join, since an episode's
+    row, ordered before its ends, tells them its duration, and episodes without intervals have one slice.
+    """
+    c = intervals.where(F.col("end_s") > F.col("start_s")).withColumns({"a": F.greatest(F.lit(0.0), "start_s"), "b": F.col("end_s").cast("double")})
+    met = c.select(F.col(key).alias("__k"), "a", "b", "weight")
+    if episodes is None:
+        points = c.select(key, "duration", F.explode(F.array(F.lit(None), "a", "b")).alias("p"))
+    else:
+        met = dealt(met, "__k").hint("merge")
+        ends = dealt(c.select(key, "a", "b").unionByName(episodes.select(key, "duration"), allowMissingColumns=True))
+        points = ends.select(key, "duration", F.explode(F.when(F.col("a").isNull(), F.array(F.col("a"))).otherwise(F.array("a", "b"))).alias("p"))
+    w = Window.partitionBy(key).orderBy("p")
+    cut = points.select(key, F.max("duration").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("duration"), F.coalesce("p", F.lit(0.0)).alias("left_s"), F.lead(F.coalesce("p", F.lit(0.0))).over(w).alias("right_s")).where("duration > 0")
+    slices = cut.withColumn("right_s", F.least("duration", F.coalesce("right_s", "duration"))).where("right_s > left_s")
+    met = slices.join(met, (F.col(key) == F.col("__k")) & (F.col("a") < F.col("right_s")) & (F.col("b") > F.col("left_s")), "left")
     return met.groupBy(key, "left_s", "right_s").agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"))
 
 

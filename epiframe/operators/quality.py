@@ -26,14 +26,22 @@ def score_episodes(episodes: DataFrame, findings: DataFrame) -> DataFrame:
     ``episodes``: episode_index, duration, coverage. ``findings``: episode_index, severity, confidence, start_s,
     end_s, hard_invalid.
     """
-    f = I.dealt(findings).join(episodes.select("episode_index", "duration"), "episode_index")
-    timed = F.col("start_s").isNotNull() & F.col("end_s").isNotNull()
-    bad = I.union_duration(f.where(F.col("severity").isin("error", "fatal") & timed))
-    weighed = f.withColumn("weight", _by_severity(SEVERITY_WEIGHTS) * F.coalesce("confidence", F.lit(1.0)))
-    penalty = I.sweep(weighed.where(timed)).groupBy("episode_index").agg(F.sum((F.col("right_s") - F.col("left_s")) * F.col("weight")).alias("weighted_s"))
-    used = timed & (F.col("duration") > 0) & (F.col("end_s") > F.col("start_s"))
-    flags = f.groupBy("episode_index").agg(F.max(F.when(~used | ~timed, _by_severity(UNTIMED)).otherwise(0.0)).alias("untimed"), F.max("hard_invalid").alias("hard"), F.max(F.col("severity") == "fatal").alias("fatal"), F.max(F.col("severity") == "error").alias("error"))
-    e = episodes.join(bad, "episode_index", "left").join(penalty, "episode_index", "left").join(flags, "episode_index", "left")
+    known = findings.where(F.col("episode_index").isNotNull())
+    timed = F.coalesce(F.col("end_s") > F.col("start_s"), F.lit(False))
+    bad = timed & F.col("severity").isin("error", "fatal")
+    f = known.select("episode_index", F.when(bad, F.greatest(F.lit(0.0), "start_s")).alias("a"), F.when(bad, F.col("end_s").cast("double")).alias("end_s"), _by_severity(UNTIMED).alias("flat"), F.when(~timed, _by_severity(UNTIMED)).alias("untimed"), F.col("hard_invalid").alias("hard"), (F.col("severity") == "fatal").alias("fatal"), (F.col("severity") == "error").alias("error"))
+    # An episode's row comes before the intervals of its findings and tells them its duration, so nothing is joined.
+    rows = I.dealt(f.unionByName(episodes.select("episode_index", "duration", "coverage", F.lit(True).alias("own")), allowMissingColumns=True))
+    w = Window.partitionBy("episode_index").orderBy("a", "end_s")
+    rows = rows.withColumn("b", F.when(F.col("a").isNotNull(), F.least(F.max("duration").over(w.rowsBetween(Window.unboundedPreceding, 0)), "end_s")))
+    opened = F.coalesce((F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    groups = rows.withColumn("o", opened).withColumn("g", F.sum("o").over(w))
+    flags = ("duration", "coverage", "own", "flat", "untimed", "hard", "fatal", "error")
+    parts = groups.groupBy("episode_index", "g").agg((F.max("b") - F.min("a")).alias("covered_s"), *[F.max(c).alias(c) for c in flags])
+    e = parts.groupBy("episode_index").agg(F.sum("covered_s").alias("covered_s"), *[F.max(c).alias(c) for c in flags]).where("own")
+    weighed = known.where(timed).select("episode_index", "start_s", "end_s", (_by_severity(SEVERITY_WEIGHTS) * F.coalesce("confidence", F.lit(1.0))).alias("weight"))
+    penalty = I.sweep(weighed, episodes).groupBy("episode_index").agg(F.sum((F.col("right_s") - F.col("left_s")) * F.col("weight")).alias("weighted_s"))
+    e = e.withColumn("untimed", F.when(F.col("duration") <= 0, F.col("flat")).otherwise(F.col("untimed"))).join(penalty, "episode_index", "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     usable = F.when(no("hard"), 0.0).when(F.col("duration") <= 0, 100.0).otherwise(100.0 * (F.col("duration") - F.coalesce("covered_s", F.lit(0.0))) / F.col("duration"))
     time_part = F.when(F.col("duration") > 0, F.coalesce("weighted_s", F.lit(0.0)) / F.col("duration") * 100.0).otherwise(0.0)

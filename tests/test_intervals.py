@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epiframe.operators import intervals as I
+from epiframe.operators import quality as Q
 from epiframe.plans import registry
 
 SCHEMA = "episode_index long, start_s double, end_s double, duration double, weight double"
@@ -68,3 +69,35 @@ def test_episodes_stay_in_many_tasks(spark, name):
     """Small shuffles are not joined into one task, whose rows grow a lot once they are cut."""
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len({r.p for r in got.withColumn("p", F.spark_partition_id()).collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def score(duration, items):
+    """usable_ratio and quality_score by the formulas of one episode; items: severity, confidence, start, end, hard."""
+    used = [i for i in items if i[2] is not None and i[3] is not None and i[3] > i[2]]
+    flat = max([Q.UNTIMED.get(i[0], 0.0) for i in items if i not in used or duration <= 0], default=0.0)
+    bad = held = 0.0
+    if duration > 0:
+        for k in range(round(duration * 4)):
+            on = [i for i in used if i[2] * 4 <= k < i[3] * 4]
+            bad += 0.25 * any(i[0] in ("error", "fatal") for i in on)
+            held += 0.25 * max((Q.SEVERITY_WEIGHTS[i[0]] * (1.0 if i[1] is None else i[1]) for i in on), default=0.0)
+    hard = any(i[4] for i in items)
+    usable = 0.0 if hard else 100.0 if duration <= 0 else 100.0 * (duration - bad) / duration
+    return usable, 0.0 if hard else max(0.0, min(100.0, 100.0 - (100.0 * held / duration if duration > 0 else 0.0) - flat))
+
+
+def test_scores_without_a_join_of_episodes(spark, capsys):
+    """Brute force over episodes without findings or time, unknown and null episodes, untimed and reversed findings. One row
+    an episode is neither broadcast, as a small file suggested, nor joined to findings."""
+    r = random.Random(4)
+    durations = {e: r.choice((8.0, 8.0, 5.0, 0.0, -1.0)) for e in range(60)}
+    items = {e: [(r.choice(tuple(Q.SEVERITY_WEIGHTS)), r.choice((None, 0.25, 0.5, 1.0)), *r.choice(((None, None), (a, None), (a, a + b), (a, a + b), (a, a + b))), r.random() < 0.02) for a, b in [(r.randint(-4, 19) / 4, r.randint(-1, 40) / 4) for _ in range(r.choice((0, 1, 3, 8)))]] for e in range(60)}
+    data = [(e, *i) for e, rows in items.items() for i in rows * r.choice((1, 2))] + [(99, "fatal", 1.0, 0.0, 1.0, True), (None, "fatal", 1.0, 0.0, 1.0, True)]
+    findings = spark.createDataFrame(data, "episode_index long, severity string, confidence double, start_s double, end_s double, hard_invalid boolean")
+    episodes = spark.createDataFrame([(e, d, 100.0) for e, d in durations.items()] + [(None, 8.0, 100.0)], "episode_index long, duration double, coverage double")
+    got = Q.score_episodes(episodes, findings)
+    want = {e: score(d, items[e]) for e, d in durations.items()} | {None: (100.0, 100.0)}
+    assert {x.episode_index: (pytest.approx(x.usable_ratio), pytest.approx(x.quality_score)) for x in got.collect()} == want and got.count() == 61
+    registry.QUERIES["auto_decision"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and plan.count("Join") == 2

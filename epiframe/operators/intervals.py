@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "episode_index"
@@ -64,6 +64,17 @@ def sweep(intervals: DataFrame, episodes: DataFrame | None = None, key: str = KE
     return met.groupBy(key, "left_s", "right_s").agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"))
 
 
+def added(rows: DataFrame, value: Column, order: str, key: str = KEY) -> DataFrame:
+    """Rows with ``s``: the sum of ``value`` so far, in an order that has no ties within a key. A sum in order of arrival
+    changes its last bits from run to run, and with them what is rounded at a tie or held against a limit."""
+    return rows.withColumn("s", F.sum(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def weighted_duration(slices: DataFrame, key: str = KEY) -> DataFrame:
+    """(key, weighted_s): seconds times weight of a sweep, added in order of time."""
+    return added(slices, (F.col("right_s") - F.col("left_s")) * F.col("weight"), "left_s", key).groupBy(key).agg(F.max_by("s", "left_s").alias("weighted_s"))
+
+
 def partition(intervals: DataFrame, key: str = KEY, grid: float = 0.01) -> DataFrame:
     """(key, start_s, end_s): [0, duration] cut at the interval ends, rounded to the grid."""
     at = lambda c: F.rint(c / grid) * grid

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe import proxy
@@ -36,8 +36,8 @@ def interval_union(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views(f"{_EF},\n{_CLIP},\n{_SWEEP}\nSELECT episode_index, round(sum((r - l) * weight), 6) AS weighted_s FROM sw GROUP BY 1", "findings", "episodes"))
 def overlap_sweep_penalty(spark: SparkSession, d: str) -> DataFrame:
     weight = F.col("confidence") * F.when(F.col("severity") == "error", 1.0).when(F.col("severity") == "warning", 0.25).otherwise(0.0)
-    s = I.sweep(timed(spark, d).withColumn("weight", weight))
-    return s.groupBy("episode_index").agg(F.round(F.sum((F.col("right_s") - F.col("left_s")) * F.col("weight")), 6).alias("weighted_s"))
+    s = I.weighted_duration(I.sweep(timed(spark, d).withColumn("weight", weight)))
+    return s.select("episode_index", F.round("weighted_s", 6).alias("weighted_s"))
 
 
 @query(with_views(f"""{_EF}, pp AS (SELECT DISTINCT episode_index, round_even(unnest([0.0::DOUBLE, duration, greatest(0.0, least(duration, start_s)), greatest(0.0, least(duration, end_s))]) / 0.01, 0) * 0.01 AS s FROM ef),
@@ -54,11 +54,17 @@ sc AS (SELECT e.episode_index, 100.0 * (duration - coalesce(covered_s, 0.0)) / d
 FROM episodes e LEFT JOIN un USING (episode_index) LEFT JOIN pen USING (episode_index) LEFT JOIN er USING (episode_index))"""
 
 
+def rounded(c: str) -> Column:
+    """Six decimals as the SQL's ``round`` takes them, from the product; ``F.round`` takes the shortest decimal form instead,
+    and scores are often ties of the sixth decimal, short of their last bits."""
+    return F.round(F.col(c) * 1e6) / 1e6
+
+
 @query(with_views(_SCORES + "\nSELECT episode_index, round(usable_ratio, 6) AS usable_ratio, round(quality_score, 6) AS quality_score FROM sc", "findings", "episodes"))
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
     f = proxy.findings(spark, d).withColumn("hard_invalid", F.lit(False))
     s = Q.score_episodes(proxy.episodes(spark, d).select("episode_index", "duration", "coverage"), f)
-    return s.select("episode_index", F.round("usable_ratio", 6).alias("usable_ratio"), F.round("quality_score", 6).alias("quality_score"))
+    return s.select("episode_index", *[rounded(c).alias(c) for c in ("usable_ratio", "quality_score")])
 
 
 @query(with_views(_SCORES + "\nSELECT episode_index, CASE WHEN quality_score >= 80 AND usable_ratio >= 90 AND coverage >= 80 AND NOT error THEN 'pass' ELSE 'review' END AS auto_decision FROM sc", "findings", "episodes"))
